@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caselode.llm import canonical, proportions, splitting, tokens
+from caselode.llm import canonical, leakage, proportions, quality, splitting, tokens
 from caselode.sources.tables import table
 
 
@@ -75,5 +75,28 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", encode(F.col("text")).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_forms, p3_found, p3_pieces, p6_ids)}
+def _alignments(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leak_alignments(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _alignments(spark, d).where(F.col("longest_run") >= leakage.WINDOW).select("doc_id", "item_id")
+
+
+def p7_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Also edited and paraphrased copies: at least half of the item's perfect score."""
+    return _alignments(spark, d).where((F.col("longest_run") >= leakage.WINDOW) | (F.col("share") >= 0.5))
+
+
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.prose_report(
+        table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"), table(spark, d, "form_labels")
+    )
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_stats(spark, d).where("not is_prose").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_forms, p3_found, p3_pieces, p6_ids, p7_found, p7_alignments, p8_found, p8_stats)}
 ORACLE = {"p1_found": P1_SQL, "p3_found": P3_SQL}
