@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caselode.llm import canonical, leakage, proportions, quality, splitting, tokens
+from caselode.llm import canonical, leakage, pii, proportions, quality, splitting, tokens
 from caselode.sources.tables import table
 
 
@@ -70,6 +70,22 @@ WHERE CASE unit WHEN 'chars' THEN length(document) WHEN 'bytes' THEN strlen(docu
 """
 
 
+def _private_texts(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, float]]:
+    documents = table(spark, d, "cases_clean").select(F.lit("document").alias("field_name"), F.col("row_no").alias("row_key"), F.col("document").alias("text"))
+    talks = table(spark, d, "augmented_notes_30k").select(F.lit("conversation").alias("field_name"), F.col("line_no").alias("row_key"), F.col("conversation").alias("text"))
+    return documents.unionByName(talks), pii.fit([documents, talks])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    texts, weights = _private_texts(spark, d)
+    return pii.find_mentions(texts, weights).select("field_name", "row_key", "pii_kind", "start_at")
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    texts, weights = _private_texts(spark, d)
+    return pii.redacted(texts, weights)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     encode = tokens.encoder("byte_bpe_50k")
     return table(spark, d, "documents").select("doc_id", encode(F.col("text")).alias("ids"))
@@ -98,5 +114,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where("not is_prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_forms, p3_found, p3_pieces, p6_ids, p7_found, p7_alignments, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_redacted, p6_ids, p7_found, p7_alignments, p8_found, p8_stats)}
 ORACLE = {"p1_found": P1_SQL, "p3_found": P3_SQL}
