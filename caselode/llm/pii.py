@@ -6,7 +6,7 @@ form, its tokens and affixes, its length and the words around it; bounded-entity
 chooses boundaries and kinds of all mentions of a window jointly (a stretch outside every mention scores 0,
 so text without a candidate of positive score needs no decoding). Weights are trained here, by averaged
 structured perceptron, on a bounded sample of the given texts (SAMPLE_TEXTS of each field, whole texts, by
-hash order), labelled by precise cue rules and the names those rules yield. Decoding runs over all texts.
+hash of the key), labelled by precise cue rules and the names those rules yield. Decoding runs over all texts.
 
 Texts written with look-alike, wide or invisible characters are read in their canonical form; positions are
 those of the stored text.
@@ -26,9 +26,10 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from caselode.llm import canonical as canon
+from caselode.operators import sampling
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 SAMPLE_TEXTS = 2500
@@ -508,11 +509,12 @@ def mentions(text: str, model: Model) -> list[tuple[int, int, str]]:
 
 
 def fit(samples: list[DataFrame]) -> dict[str, float]:
-    """Train on the first SAMPLE_TEXTS texts by hash of each (text) frame."""
+    """Train on SAMPLE_TEXTS texts of each frame (row_key, text), chosen by hash of the key."""
     texts: list[str] = []
     for df in samples:
-        rows = df.select("text").where("text is not null and length(text) > 0").orderBy(F.xxhash64("text")).limit(SAMPLE_TEXTS).collect()
-        texts.extend(canon.canonical(r["text"]) for r in rows)
+        told = df.select("row_key", "text").where("row_key is not null and length(text) > 0")
+        rows = sampling.bounded_sample(told, "row_key", SAMPLE_TEXTS).select("text").collect()
+        texts.extend(sorted((canon.canonical(r["text"]) for r in rows), key=hash_of))
     return train(texts)
 
 

@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from caselode.operators.sampling import bounded_sample
 from caselode.session import cut_lineage
 
 STATS = (
@@ -225,7 +226,7 @@ def fit_prose(stats: DataFrame, labels: DataFrame, label_key: str = "doc_id", fo
     """The model after ``rounds`` concentration steps; at most MAX_LABELS labelled texts set the cut."""
     told = stats.where("stats is not null")
     few = labels.select(F.col(label_key).alias("doc_id"), (F.col(form) != "prose").alias("odd")).where("doc_id is not null and odd is not null")
-    few = few.orderBy(F.xxhash64("doc_id"), "doc_id", "odd").limit(MAX_LABELS)
+    few = bounded_sample(few, "doc_id", MAX_LABELS)
     rows = told.join(F.broadcast(few), "doc_id").select("language", "stats", "odd").collect()
     language = np.array([r["language"] for r in rows], dtype=object).astype(str)
     x = np.array([r["stats"] for r in rows], dtype=float).reshape(-1, len(STATS))
