@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselode.plans import corpus_queries, nested_queries
+from caselode.plans import corpus_queries, nested_queries, retrieval_queries
 
-_MODULES = (corpus_queries, nested_queries)
+_MODULES = (corpus_queries, retrieval_queries, nested_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return nested_queries.p5_found(spark, folder)
+    return retrieval_queries.hybrid_search(spark, folder)
