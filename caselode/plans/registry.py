@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselode.plans import corpus_queries, nested_queries, retrieval_queries
+from caselode.plans import corpus_queries, nested_queries, retrieval_queries, stream_queries, usage_queries
 
-_MODULES = (corpus_queries, retrieval_queries, nested_queries)
+_MODULES = (corpus_queries, retrieval_queries, usage_queries, stream_queries, nested_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
