@@ -34,6 +34,14 @@ def context(requested: DataFrame, cases: DataFrame, cfg: EngineConfig = DEFAULT)
     return rows.select("query_id", F.array_join(F.col("b.block"), "\n\n").alias("context"))
 
 
+def prompt(query: Column, block: Column) -> Column:
+    """The request to a model: query, cases, and the rules its answer is checked by."""
+    return F.concat(
+        F.lit("QUERY\n"), query, F.lit("\n\nCASES\n"), block,
+        F.lit("\n\nCompare each case with the query. Answer in JSON with explanations[]; cite case ids for every claim; give no advice."),
+    )
+
+
 def missing_ids(requested: DataFrame, cases: DataFrame) -> DataFrame:
     return requested.join(cases.select("case_id"), "case_id", "left_anti")
 

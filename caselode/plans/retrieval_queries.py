@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caselode.operators import corpus, evaluate, fusion, retrieve
+from caselode.operators import ann, corpus, evaluate, fusion, retrieve
 from caselode.operators.filters import SearchFilters
 from caselode.session import cut_lineage
 from caselode.sources.tables import table
@@ -81,6 +81,22 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
 """
 
 
+def dense_ann(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted-file index over all vectors, asked for the stated query set."""
+    e = table(spark, d, "embeddings")
+    centres, nprobe = ann.fit_cells(e, "vec_id", "embedding")
+    return ann.ann_topn(ann.index_rows(e, "vec_id", "embedding", centres), e.where(F.col("vec_id") % EVERY == 0), centres, 10, "vec_id", "embedding", nprobe)
+
+
+def facet_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score of each hit by facet: the two branches side by side."""
+    parts = None
+    for facet, text in (("document", "document"), ("note", "reference_note")):
+        part = _branch(spark, d, text).select("query_id", "case_id", F.lit(facet).alias("facet"), "score")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("query_id", "case_id").pivot("facet", ["document", "note"]).agg(F.max("score"))
+
+
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
     return _branch(spark, d, "document", 10)
 
@@ -306,7 +322,7 @@ SELECT *, row_number() OVER (ORDER BY ndcg_10 DESC, depth, beta) = 1 AS best FRO
 QUERIES = {
     f.__name__: f
     for f in (
-        dense_topk, dense_knn_batch, sparse_topk, filter_conjunctive, minmax_norm, fusion_weighted, fusion_rrf, fusion_overlap,
+        dense_topk, dense_knn_batch, dense_ann, facet_scores, sparse_topk, filter_conjunctive, minmax_norm, fusion_weighted, fusion_rrf, fusion_overlap,
         saved_search_changes, hybrid_search, rerank_blend, rerank_depth_blend, rerank_failsoft, confidence_labels, cohort_outcomes,
         metrics_by_mode, alpha_sweep, depth_beta_sweep, pool_ceiling,
     )
@@ -316,6 +332,8 @@ ORACLE = {
     "dense_knn_batch": _dense_sql(5, "AND q.vec_id <> e.vec_id"),
     "sparse_topk": f"WITH {_CASES_SQL}, {_branch_sql('doc', 'document', 10)} SELECT * FROM doc",
     "filter_conjunctive": f"WITH {_CASES_SQL}, {_branch_sql('doc', 'document', 10, "sex = 'female' AND age >= 60 AND outcome_class = 'improved'")} SELECT * FROM doc",
+    "facet_scores": f"""{_TWO_SQL} SELECT coalesce(doc.query_id, note.query_id) AS query_id, coalesce(doc.case_id, note.case_id) AS case_id,
+        doc.score AS document, note.score AS note FROM doc FULL JOIN note ON doc.query_id = note.query_id AND doc.case_id = note.case_id""",
     "minmax_norm": f"{_NORMED_SQL} SELECT query_id, case_id, round(score, 6) AS norm FROM dn",
     "fusion_weighted": f"{_FUSED_SQL} SELECT query_id, case_id, score, rank FROM fused",
     "fusion_rrf": f"{_TWO_SQL}, {_RRF_SQL} SELECT query_id, case_id, score, rank FROM rrf",

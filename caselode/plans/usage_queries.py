@@ -136,6 +136,36 @@ def budget_packing(spark: SparkSession, d: str) -> DataFrame:
     return usage.within_budget(ranked, F.col("words"), 3000).select("query_id", "case_id", "rank", "spent")
 
 
+def mean_latency(spark: SparkSession, d: str) -> DataFrame:
+    log = usage.distinct_requests(table(spark, d, "search_log"))
+    return log.groupBy("profile").agg(F.count("took_ms").alias("requests"), F.round(F.avg("took_ms"), 1).alias("mean_ms"))
+
+
+def gold_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """Which gold queries the acceptance rule keeps: 8..45 words, not the model talking about itself."""
+    bare = F.regexp_replace(T.strip(F.regexp_replace("query", r'^[\s"]+|[\s"]+$', "")), r"\s+", " ")
+    words = F.size(F.split(bare, " ")).cast("long")
+    own = F.lower(bare).rlike(r"^(?:i |sorry|here)")
+    return table(spark, d, "gold_queries").select("query_id", words.alias("words"), (words.between(8, 45) & ~own).alias("accepted"))
+
+
+def index_health(spark: SparkSession, d: str) -> DataFrame:
+    """Points, versions to drop, and searches per status: one row."""
+    cases = table(spark, d, "cases_clean").agg(F.countDistinct("case_id").alias("points"), (F.count("case_id") - F.countDistinct("case_id")).alias("old_versions"))
+    log = table(spark, d, "search_log").agg(F.count("*").alias("searches"), F.count_if(F.col("top_case_id").isNull()).alias("empty_searches"))
+    return cases.crossJoin(log).withColumn("status", F.when(F.col("points") > 0, "ok").otherwise("degraded"))  # one row each
+
+
+def precision_by_month(spark: SparkSession, d: str) -> DataFrame:
+    """Share of searches whose top case is a relevant one, with the change to the month before."""
+    gold = table(spark, d, "gold_queries").select("query_id", "relevant_case_ids")
+    log = usage.distinct_requests(table(spark, d, "search_log")).where("top_case_id is not null").join(gold, "query_id")
+    hit = F.array_contains("relevant_case_ids", F.col("top_case_id")).cast("int")
+    monthly = log.groupBy(F.date_format("requested_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("searches"), F.sum(hit).alias("hits"))
+    share = F.col("hits") / F.col("searches")
+    return monthly.select("month", "searches", "hits", F.round(share - F.lag(share).over(Window.orderBy("month")), 6).alias("change"))  # a row a month
+
+
 # ---- relational tables
 
 def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -239,6 +269,30 @@ def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gold_queries").select("query_id", explain.cache_key(F.col("query"), F.col("relevant_case_ids")).alias("cache_key"))
 
 
+def explain_prompt(spark: SparkSession, d: str) -> DataFrame:
+    wanted = table(spark, d, "gold_queries").select("query_id", F.posexplode("relevant_case_ids").alias("position", "case_id"))
+    context = explain.context(wanted, R.latest_cases(spark, d))
+    prompt = explain.prompt(F.col("query"), F.col("context"))
+    return table(spark, d, "gold_queries").select("query_id", "query").join(context, "query_id").select("query_id", F.md5(prompt).alias("prompt"), F.length(prompt).cast("long").alias("n_chars"))
+
+
+def citation_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Per gold query: cited top cases, and how many of them are among its hundred candidates."""
+    cited = table(spark, d, "search_log").where("top_case_id is not null").select("query_id", F.col("top_case_id").alias("case_id")).distinct()
+    valid = R._branch(spark, d, "document").select("query_id", "case_id", F.lit(1).alias("valid"))
+    return cited.join(valid, ["query_id", "case_id"], "left").groupBy("query_id").agg(
+        F.count("*").alias("cited"), F.count("valid").alias("valid"), F.round(F.count("valid") / F.count("*"), 4).alias("rate")
+    )
+
+
+def term_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Of each gold query and candidate: contradicted and shared denials."""
+    told = table(spark, d, "gold_queries").select("query_id", negation.query_polarity("query").alias("p"))
+    texts = R.latest_cases(spark, d).select("case_id", F.substring("document", 1, 1600).alias("text"))
+    pool = R._branch(spark, d, "document", 30).join(told, "query_id").join(texts, "case_id")
+    return pool.withColumn("m", negation.polarity_matches("p.positive", "p.negative", "text")).select("query_id", "case_id", "m.conflicts", "m.agreements")
+
+
 def summary_status(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "augmented_notes_30k").select("line_no", json_repair.parsed("summary").alias("p")).select("line_no", "p.status", "p.json")
 
@@ -262,6 +316,17 @@ ORACLE = {
     "top_case_share": """WITH c AS (SELECT query_id, top_case_id, count(*) AS n, max(top_score) AS best FROM search_log WHERE top_case_id IS NOT NULL GROUP BY ALL)
         SELECT query_id, top_case_id, n, round(n / sum(n) OVER (PARTITION BY query_id), 4) AS share FROM c
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, best DESC, top_case_id DESC) = 1""",
+    "mean_latency": f"SELECT profile, count(took_ms) AS requests, round(avg(took_ms), 1) AS mean_ms FROM {_LOG1} GROUP BY profile",
+    "gold_acceptance": r"""WITH b AS (SELECT query_id, regexp_replace(regexp_replace(query, '^[\s"]+|[\s"]+$', '', 'g'), '\s+', ' ', 'g') AS q FROM gold_queries)
+        SELECT query_id, len(string_split(q, ' ')) AS words, len(string_split(q, ' ')) BETWEEN 8 AND 45 AND NOT regexp_matches(lower(q), '^(?:i |sorry|here)') AS accepted FROM b""",
+    "index_health": """SELECT *, CASE WHEN points > 0 THEN 'ok' ELSE 'degraded' END AS status FROM
+        (SELECT count(DISTINCT case_id) AS points, count(case_id) - count(DISTINCT case_id) AS old_versions FROM cases_clean),
+        (SELECT count(*) AS searches, count(*) FILTER (top_case_id IS NULL) AS empty_searches FROM search_log)""",
+    "precision_by_month": f"""WITH m AS (SELECT strftime(requested_at, '%Y-%m') AS month, count(*) AS searches, CAST(sum(list_contains(relevant_case_ids, top_case_id)::INT) AS BIGINT) AS hits
+        FROM {_LOG1} JOIN gold_queries USING (query_id) WHERE top_case_id IS NOT NULL GROUP BY 1)
+        SELECT month, searches, hits, round(hits / searches - lag(hits / searches) OVER (ORDER BY month), 6) AS change FROM m""",
+    "citation_validity": f"""WITH {R._CASES_SQL}, {R._branch_sql('doc', 'document')}, c AS (SELECT DISTINCT query_id, top_case_id AS case_id FROM search_log WHERE top_case_id IS NOT NULL)
+        SELECT query_id, count(*) AS cited, count(doc.score) AS valid, round(count(doc.score) / count(*), 4) AS rate FROM c LEFT JOIN doc USING (query_id, case_id) GROUP BY query_id""",
     "outcome_cube": """SELECT sex, outcome, count(*) AS cases, round(avg(age), 4) AS mean_age, grouping_id(sex, outcome) AS level
         FROM (SELECT sex, lower(trim(outcome_class)) AS outcome, age FROM cases_clean) GROUP BY CUBE (sex, outcome)""",
     "outcome_pivot": "SELECT age_band, " + ", ".join(f"count(*) FILTER (lower(trim(outcome_class)) = '{c}') AS {c}" for c in ("improved", "deteriorated", "deceased", "unknown")) + " FROM cases_clean GROUP BY age_band",
@@ -319,6 +384,7 @@ QUERIES = {
         outcome_pivot, index_reconcile, resume_anti_join, docs_semi_join, case_lookup, snippet_left_join, group_by_case, label_centroids,
         source_late_rows, lab_trends, event_windows, event_sessions, budget_packing, pricing_summary, nation_revenue, top_orders,
         negated_scopes, negated_spans, negation_triggers, negation_parse_query, search_fast, search_thorough, match_labels,
-        explain_context, explain_validate, explain_fallback, cache_keys, summary_status,
+        explain_context, explain_prompt, explain_validate, explain_fallback, citation_validity, cache_keys, summary_status,
+        mean_latency, gold_acceptance, index_health, precision_by_month, term_statuses,
     )
 }

@@ -203,3 +203,24 @@ def test_budget_and_lab_values(spark):
     assert rows(usage.within_budget(df, F.col("words"), 9), "rank") == [(1,), (2,)]
     labs = spark.createDataFrame([(1, "x\nurea | 1,5 | mg/L\r\nD-dimer | 2 | g\nno | y"), (2, None)], "id long, t string")
     assert rows(usage.lab_values(labs, "id", "t"), "id", "value", "unit") == [(1, 1.5, "mg/L")] or rows(usage.lab_values(labs, "id", "t"), "id", "analyte", "value", "unit") == [(1, "D-dimer", 2.0, "g"), (1, "urea", 1.5, "mg/L")]
+
+
+def test_approximate_search_recall(spark):
+    import numpy as np
+
+    from caselode.operators import ann
+
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(20, 16))
+    x = centre[rng.integers(0, 20, 3000)] + 0.6 * rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [0.0] * 16), (9003, [1.0])], "vec_id long, embedding array<double>")
+    queries = df.where("vec_id < 3000 and vec_id % 50 = 0")
+    centres, nprobe = ann.fit_cells(df, "vec_id", "embedding", cells=32)
+    assert nprobe < 32
+    index = ann.index_rows(df, "vec_id", "embedding", centres)
+    assert index.count() == 3000
+    exact = {(r["query_id"], r["vec_id"]) for r in retrieve.dense_topn(df, queries, 10).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in ann.ann_topn(index, queries, centres, 10, "vec_id", "embedding", nprobe).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+    none = df.limit(0)
+    assert ann.index_rows(none, "vec_id", "embedding", centres).count() == 0
