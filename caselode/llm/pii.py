@@ -46,7 +46,7 @@ NAME_CUES = (
     "sœur|under|that was|called|dear|signed,|sincerely,"
 )
 ID_CUES = (
-    "record number|record no|insurance|card says|mrn|social security|identity|passport|holder|dni|sécurité sociale|"
+    r"\bid\b|record number|record no|insurance|card says|mrn|social security|identity|passport|holder|dni|sécurité sociale|"
     "versicherung|krankenkasse|ausweis|identifier|patient number|patient no|hospital number|nhs|ssn|personnummer"
 )
 OTHER_CUES = "serial|lot |filed as|code|infusion|readings|ratio|protocol|trl|dated|acn|bed |room|form |specimen|register"
@@ -90,6 +90,7 @@ _MAIL_SIGN = re.compile(r"@|\[at\]|\(at\)| dot ", re.I)
 _SPELLED = re.compile(rf"\b(?:{NUMBER_WORDS})[ ,-]+(?:{NUMBER_WORDS})\b", re.I)
 _FIVE_DIGITS = re.compile(r"\d\D{0,2}\d\D{0,2}\d\D{0,2}\d\D{0,2}\d")
 _DIGIT = re.compile(r"\d")
+_LONG_NUMBER = re.compile(r"\d[\d ./()-]{4,}\d")
 #: What a window must hold for the forms of a kind to be worth trying.
 _NEEDS = {("email", 0): _MAIL_SIGN, ("email", 1): _MAIL_SIGN, ("phone", 0): _FIVE_DIGITS, ("phone", 1): _SPELLED, ("id_number", 0): _FIVE_DIGITS}
 LEFT, RIGHT = 100, 170
@@ -152,6 +153,14 @@ def windows(text: str, anchors: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _since_number(before: str) -> str:
+    """What stands between the last long number and here: a cue before that number was meant for it."""
+    last = 0
+    for m in _LONG_NUMBER.finditer(before):
+        last = m.end()
+    return before[last:]
+
+
 def _shape(word: str) -> str:
     if word[0].isdigit():
         return "0"
@@ -226,7 +235,7 @@ class Model:
             out.append(f"{k}.shape={re.sub(r'[A-Z]', 'A', re.sub(r'[0-9]', '0', span))[:24]}")
             out.append(f"{k}.head={span[:2] if span[0] in '+0' else re.sub('[0-9]', '0', span[:2])}")
             out.append(f"{k}.digits={sum(c.isdigit() for c in span)}")
-            before = s[max(0, a - 60) : a].lower()
+            before = _since_number(s[max(0, a - 60) : a].lower())
             for name, cues in (("id", ID_CUES), ("other", OTHER_CUES)):
                 if re.search(cues, before):
                     out.append(f"{k}.cue={name}")
@@ -370,7 +379,7 @@ def weak_labels(s: str, names: set[str], model: Model) -> set[tuple[int, int, st
         gold.append((*m.span(), "phone"))
     numbers = [c for c in model.candidates(s) if c[2] in ("phone", "id_number")]
     for a, b, kind, _ in sorted(numbers, key=lambda c: (c[0], -c[1])):
-        before = s[max(0, a - 42) : a].lower()
+        before = _since_number(s[max(0, a - 42) : a].lower())
         other = [m.end() for m in re.finditer(OTHER_CUES, before)]
         ids = [m.end() for m in re.finditer(ID_CUES, before)]
         sure = (ids or [0])[-1] > (other or [0])[-1]
