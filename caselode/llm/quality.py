@@ -40,10 +40,12 @@ ANY = "any"
 _ENDS = tuple(".!?…:;\"”»)'’。")
 _MARKER = re.compile(r"\s*(?:[-–—•·*→+]+\s|o\s|\(?\d{1,3}[.)]\s|#\d|\[.?\]\s|[A-Za-z][.)]\s)")
 _CELLS = re.compile(r"\t|\|.*\||[^;]{1,40};[^;]{0,40};|\",\"|\S {3,}\S|^\s+[\d.,]+\s|\s=\s|\.{3,}|^[^.!?:]{1,40}:\s*\S+(?:\s\S+){0,2}$")
+_CELL_ENDS = re.compile(r"[\t|;]| {2,}|\",")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _ITEM_SPLIT = re.compile(r"[,;•·|\t\n]")
 _SPAN = 24
 _RATE = 0.2
+_PRIOR = 3  # words of ordinary prose added to a text, so that single sentences aren't judged by one word
 
 
 def text_stats(text: str, common: dict[str, frozenset[str]]) -> tuple[str, int, tuple[float, ...]] | None:
@@ -65,20 +67,21 @@ def text_stats(text: str, common: dict[str, frozenset[str]]) -> tuple[str, int,
     digits = sum(map(str.isdigit, text)) if not text.isascii() else len(re.findall(r"[0-9]", text))
     lines = [line for line in text.splitlines() if line.strip()]
     ended = sum(line.rstrip().endswith(_ENDS) for line in lines)
-    marked = sum(len(line) for line in lines if _MARKER.match(line) or _CELLS.search(line))
+    marked = sum(len(line) for line in lines if _MARKER.match(line) or (_CELLS.search(line) and (len(line) <= 160 or len(_CELL_ENDS.findall(line)) * 40 >= len(line))))
     items = [part for part in _ITEM_SPLIT.split(text) if part and not part.isspace()]
-    short = sum(len(part) for part in items if part.strip().count(" ") < 5)
+    short = sum(len(part) for part in items if len(part.split(None, 5)) <= 5)
     size = sum(map(len, lines))
     # words in the order of the text: in prose, about every third is a common word of some language
     hits = np.fromiter((w in every for w in words), dtype=np.int64, count=len(words))
     sums = np.concatenate([[0], np.cumsum(hits)])
     span = min(_SPAN, len(words))
-    told = float(np.minimum((sums[span:] - sums[: len(sums) - span]) / (span * _RATE), 1.0).mean()) if span else 0.0
+    rates = (sums[span:] - sums[: len(sums) - span] + _PRIOR * 0.3) / (span + _PRIOR) if span else np.zeros(1)
+    told = float(np.minimum(rates / _RATE, 1.0).mean())
     grams = list(zip(tokens, tokens[1:], tokens[2:]))
     distinct = len(set(grams)) / len(grams) if grams else 1.0
     stats = (
         np.log1p(n),
-        min(letters / max(len(words), 1), 20.0),
+        min((letters + 5.0 * _PRIOR) / (len(words) + _PRIOR), 20.0),
         max(chars - letters - digits, 0) / chars,
         digits / chars,
         ended / max(len(lines), 1),
