@@ -14,7 +14,8 @@ which Spark strings can't hold).
 from __future__ import annotations
 
 import base64
-import json
+import heapq
+import itertools
 import os
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,7 @@ TOKENIZER_DIR = "/opt/tokenizers"
 # Fixed value: the pattern that parts texts into words for this family of vocabularies.
 WORD_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 400_000
+LONG_WORD = 100
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +46,11 @@ class SpeculativeBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = WORD_PATTERN):
         self.ranks, self.words = ranks, regex.compile(pattern)
-        self.longest = max(map(len, ranks))
+        # how long a token that starts with two given bytes can be
+        self.reach: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > 1 and len(token) > self.reach.get(token[:2], 1):
+                self.reach[token[:2]] = len(token)
         self.size = max(ranks.values()) + 1
         self.cache: dict[str, list[int]] = {}
         self.exact = self.seen = 0
@@ -70,6 +76,8 @@ class SpeculativeBpe:
 
     def _merged(self, word: bytes, below: int | None = None) -> list[int]:
         """Exact merging: the neighbours of lowest rank first, leftmost on ties; ranks from ``below`` on don't count."""
+        if len(word) > LONG_WORD and below is None:
+            return self._merged_long(word)
         parts = [word[i : i + 1] for i in range(len(word))]
         get, none = self.ranks.get, 1 << 60
         joins = [get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
@@ -86,10 +94,40 @@ class SpeculativeBpe:
                 joins[i - 1] = get(parts[i - 1] + parts[i], none)
         return [self.ranks[p] for p in parts]
 
+    def _merged_long(self, word: bytes) -> list[int]:
+        """The same for long words, with a heap of joins over a linked list."""
+        n, get = len(word), self.ranks.get
+        end = list(range(1, n + 1))  # end of the part that starts here
+        before, alive = list(range(-1, n - 1)), [True] * n
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = end[i]
+            if i >= 0 and j < n and (rank := get(word[i : end[j]])) is not None:
+                heapq.heappush(heap, (rank, i, j, end[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, j, stop = heapq.heappop(heap)
+            if not alive[i] or end[i] != j or not alive[j] or end[j] != stop:
+                continue  # one of the two has been joined since
+            end[i], alive[j] = stop, False
+            if stop < n:
+                before[stop] = i
+            offer(i)
+            if i and before[i] >= 0:
+                offer(before[i])
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[word[i : end[i]]])
+            i = end[i]
+        return out
+
     def _greedy(self, word: bytes) -> list[int]:
-        out, at, n, get = [], 0, len(word), self.ranks.get
+        out, at, n, get, reach = [], 0, len(word), self.ranks.get, self.reach.get
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            for end in range(min(n, at + reach(word[at : at + 2], 1)), at, -1):
                 token = get(word[at:end])
                 if token is not None:
                     out.append(token)
@@ -137,20 +175,22 @@ class SpeculativeBpe:
         fits = self.compatible(pairs // self.size, pairs % self.size)[back] if len(pairs) else np.array([], dtype=bool)
         failing = set(owner[inner[~fits]].tolist())
         self.exact += len(failing)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         for i, w in enumerate(words):
             self.cache[w] = self._merged(raw[i]) if i in failing else proposed[i]
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_parts(self, texts: list[str | None]) -> list[Iterator[int]]:
+        """The ids of each text, as iterators over the cache."""
         parted = [self.words.findall(t) if t else [] for t in texts]
-        fresh = {w for words in parted for w in words}
-        unknown = [w for w in fresh if w not in self.cache]
-        known = {w: self.cache[w] for w in fresh if w in self.cache}
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        unknown = set().union(*parted).difference(self.cache)
         if unknown:
-            self.learn(unknown)
-            known.update((w, self.cache[w]) for w in unknown)
-        return [[i for w in words for i in known[w]] for words in parted]
+            self.learn(list(unknown))
+        of = self.cache.__getitem__
+        return [itertools.chain.from_iterable(map(of, words)) for words in parted]
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        return [list(ids) for ids in self.encode_parts(texts)]
 
 
 def encoder(name: str = "byte_bpe_50k", folder: str | None = None) -> Callable[[Column], Column]:
@@ -167,7 +207,8 @@ def encoder(name: str = "byte_bpe_50k", folder: str | None = None) -> Callable[[
             out = []
             texts = part.tolist()
             for at in range(0, len(texts), 256):
-                out.extend(bpe.encode_batch([t if isinstance(t, str) else None for t in texts[at : at + 256]]))
-            yield pd.Series([np.array(x, dtype=np.int32) for x in out], index=part.index, dtype=object)
+                few = bpe.encode_parts([t if isinstance(t, str) else None for t in texts[at : at + 256]])
+                out.extend(np.fromiter(ids, dtype=np.int32) for ids in few)
+            yield pd.Series(out, index=part.index, dtype=object)
 
     return encode

@@ -37,6 +37,12 @@ def test_pairs_tested_together_equal_exact_merging(both):
             assert ok == (own._merged(own.bytes_of[x] + own.bytes_of[y]) == [x, y])
 
 
+def test_long_words(both):
+    own, reference = both
+    texts = ["heartburn" * 300, "ab" * 5000, "Zq9x" * 40 + "é" * 900, "aaaa" * 777, "-=" * 400]
+    assert own.encode_batch(texts) == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_null_empty_special(spark, both):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "<|endoftext|>"), (4, "word " * 30_000)], "doc_id long, text string")
     encode = t.encoder()
