@@ -1,7 +1,7 @@
 """Evaluation passages inside training texts (problem 7).
 
 Texts become words: stretches of letters and digits of the canonical form, lower case. Five-word grams of the
-items are counted over the whole corpus; of every twelve-word window of an item the rarest gram becomes a seed,
+items are counted over the whole corpus, which is read once; of every twelve-word window of an item the rarest gram becomes a seed,
 so any text that holds twelve consecutive words of an item holds a seed of it, and texts that share just stock
 phrases rarely do. Seeds are joined to the items; each candidate is scored by Smith-Waterman alignment of the
 item's words against the text's words, and its longest unbroken run is measured.
@@ -84,6 +84,35 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, end, longest
 
 
+# ASCII characters that are neither letter nor digit become blanks; bytes of other characters stay
+_BREAKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
+
+class _Lookup(dict):
+    """Token bytes to word id; tokens seen for the first time are parted into words where they hold other signs."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.own, self.several = known, set()
+
+    def __missing__(self, token: bytes):
+        if len(self) > 500_000:
+            self.clear()
+            self.update(self.own)
+        if token.isascii():
+            found = 0
+        else:
+            ids = tuple(self.own.get(w.encode(), 0) for w in _WORD.findall(token.decode("utf-8", "replace")))
+            found = ids[0] if len(ids) == 1 else ids
+            if len(ids) != 1:
+                self.several.add(token)
+        self[token] = found
+        return found
+
+    def __reduce__(self):
+        return _Lookup, (self.own,)
+
+
 class ItemBlock:
     """Words, grams and seeds of one block of items; small, and sent to every task."""
 
@@ -96,9 +125,15 @@ class ItemBlock:
         every = [v for v in self.keys.values() if len(v)]
         self.grams = np.unique(np.concatenate(every)) if every else np.zeros(0, dtype=np.int64)
 
+        self.lookup = _Lookup({w.encode(): i for w, i in self.vocabulary.items()})
+
     def of(self, text: str) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in words(text)], dtype=np.int64)
+        """Word ids of a text; 0 for words no item has."""
+        tokens = canonical(text).lower().encode("utf-8", "replace").translate(_BREAKS).split()
+        ids = list(map(self.lookup.__getitem__, tokens))
+        if not self.lookup.several.isdisjoint(tokens):
+            ids = [i for found in ids for i in (found if isinstance(found, tuple) else (found,))]
+        return np.array(ids, dtype=np.int64)
 
 
 def _hits(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -109,44 +144,33 @@ def _hits(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.flatnonzero((wanted[at] == keys) & (keys != 0))
 
 
-def _gram_counts(docs: DataFrame, block, n_grams: int) -> dict[int, int]:
+def _passages(docs: DataFrame, block, doc_type: str) -> DataFrame:
+    """(doc_id, ids, grams): texts that hold any gram of the items, as word ids with their item grams. One reading of the corpus."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = block.value
-        total = np.zeros(n_grams, dtype=np.int64)
         for batch in batches:
-            for text in batch["_text"]:
-                keys = gram_keys(b.of(text))
-                found = keys[_hits(keys, b.grams)]
-                np.add.at(total, np.searchsorted(b.grams, found), 1)
-        there = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": b.grams[there], "n": total[there]})
+            rows = []
+            for doc, text in zip(batch["_doc"], batch["_text"]):
+                ids = b.of(text)
+                keys = gram_keys(ids)
+                at = _hits(keys, b.grams)
+                if len(at):
+                    rows.append((doc, ids.astype(np.int32), keys[at]))
+            yield pd.DataFrame(rows, columns=["doc_id", "ids", "grams"])
 
-    counted = docs.select("_text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counted.collect()}  # at most the grams of one block of items
+    return cut_lineage(docs.mapInPandas(run, f"doc_id {doc_type}, ids array<int>, grams array<long>"))
 
 
 def _block_alignments(docs: DataFrame, items: list[tuple[object, str]], item_type: str, doc_type: str) -> DataFrame:
     spark = docs.sparkSession
     made = ItemBlock(items)
     block = spark.sparkContext.broadcast(made)
-    counts = _gram_counts(docs, block, len(made.grams))
+    passages = _passages(docs, block, doc_type)
+    counted = passages.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    counts = {r["gram"]: r["n"] for r in counted.collect()}  # at most the grams of one block of items
     seeds = [(int(made.keys[k][p]), k, p) for k in made.ids if len(made.keys[k]) for p in choose_seeds(made.keys[k], counts)]
     seed_table = spark.createDataFrame(seeds, f"gram long, item_id {item_type}, item_at int")
-    wanted = spark.sparkContext.broadcast(np.unique(np.array([s[0] for s in seeds], dtype=np.int64)))
-
-    def seeded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b, w = block.value, wanted.value
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["_doc"], batch["_text"]):
-                ids = b.of(text)
-                keys = gram_keys(ids)
-                at = _hits(keys, w)
-                if len(at):
-                    rows.append((doc, ids.astype(np.int32), keys[at]))
-            yield pd.DataFrame(rows, columns=["doc_id", "ids", "grams"])
-
-    passages = cut_lineage(docs.mapInPandas(seeded, f"doc_id {doc_type}, ids array<int>, grams array<long>"))
     links = (
         passages.select("doc_id", F.explode(F.array_distinct("grams")).alias("gram"))
         .join(seed_table, "gram")
