@@ -15,6 +15,7 @@ too few documents for a covariance uses that of all languages too.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +40,8 @@ ANY = "any"
 
 _ENDS = tuple(".!?…:;\"”»)'’。")
 _MARKER = re.compile(r"\s*(?:[-–—•·*→+]+\s|o\s|\(?\d{1,3}[.)]\s|#\d|\[.?\]\s|[A-Za-z][.)]\s)")
-_CELLS = re.compile(r"\t|\|.*\||[^;]{1,40};[^;]{0,40};|\",\"|\S {3,}\S|^\s+[\d.,]+\s|\s=\s|\.{3,}|^[^.!?:]{1,40}:\s*\S+(?:\s\S+){0,2}$")
+_LABELLED = re.compile(r"[^.!?:]{1,40}:\s*\S+(?:\s\S+){0,2}$")
+_NUMBERS = re.compile(r"\s+[\d.,]+\s")
 _CELL_ENDS = re.compile(r"[\t|;]| {2,}|\",")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _ITEM_SPLIT = re.compile(r"[,;•·|\t\n]")
@@ -48,6 +50,20 @@ _RATE = 0.2
 _PRIOR = 3  # words of ordinary prose added to a text, so that single sentences aren't judged by one word
 
 
+@functools.lru_cache(maxsize=4)
+def _united(sets: tuple[frozenset[str], ...]) -> frozenset[str]:
+    return frozenset().union(*sets)
+
+
+def _in_cells(line: str) -> bool:
+    """Does a line look like a row of a table, or a named value? Long lines must be dense with separators."""
+    parted = (
+        "\t" in line or line.count("|") > 1 or line.count(";") > 1 or '","' in line or "   " in line.strip() or " = " in line or "..." in line
+        or (":" in line[1:42] and _LABELLED.match(line)) or _NUMBERS.match(line)
+    )
+    return bool(parted) and (len(line) <= 160 or len(_CELL_ENDS.findall(line)) * 40 >= len(line))
+
+
 def text_stats(text: str, common: dict[str, frozenset[str]]) -> tuple[str, int, tuple[float, ...]] | None:
     """(language, word count, statistics) of a text; None where there is nothing but blanks."""
     tokens = text.split()
@@ -56,23 +72,23 @@ def text_stats(text: str, common: dict[str, frozenset[str]]) -> tuple[str, int,
     n = len(tokens)
     words = _WORDS.findall(text.lower())
     counts = Counter(words)
-    known = {lang: sum(c for w, c in counts.items() if w in of) for lang, of in common.items()}
+    known = {lang: sum(counts[w] for w in of if w in counts) for lang, of in common.items()}
     lang = max(sorted(known), key=known.get, default=ANY)
     covered = known.get(lang, 0)
-    every = frozenset().union(*common.values())
+    every = _united(tuple(common.values()))
     if not covered:
         lang = ANY
     chars = sum(map(len, tokens))
     letters = sum(map(len, words))
-    digits = sum(map(str.isdigit, text)) if not text.isascii() else len(re.findall(r"[0-9]", text))
+    digits = sum(map(text.count, "0123456789"))
     lines = [line for line in text.splitlines() if line.strip()]
     ended = sum(line.rstrip().endswith(_ENDS) for line in lines)
-    marked = sum(len(line) for line in lines if _MARKER.match(line) or (_CELLS.search(line) and (len(line) <= 160 or len(_CELL_ENDS.findall(line)) * 40 >= len(line))))
+    marked = sum(len(line) for line in lines if _MARKER.match(line) or _in_cells(line))
     items = [part for part in _ITEM_SPLIT.split(text) if part and not part.isspace()]
     short = sum(len(part) for part in items if len(part.split(None, 5)) <= 5)
     size = sum(map(len, lines))
     # words in the order of the text: in prose, about every third is a common word of some language
-    hits = np.fromiter((w in every for w in words), dtype=np.int64, count=len(words))
+    hits = np.fromiter(map(every.__contains__, words), dtype=np.int64, count=len(words))
     sums = np.concatenate([[0], np.cumsum(hits)])
     span = min(_SPAN, len(words))
     rates = (sums[span:] - sums[: len(sums) - span] + _PRIOR * 0.3) / (span + _PRIOR) if span else np.zeros(1)
