@@ -22,6 +22,15 @@ def latest_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return top.select(*keys, "_row.*").select(*df.columns)
 
 
+def latest_rows(df: DataFrame, key: str, at: str, ident: str) -> DataFrame:
+    """Like ``latest_wins`` where rows have a unique id: only ids are grouped, and wide columns are shuffled at most once.
+
+    Ties of ``at`` go to the greater id.
+    """
+    best = df.groupBy(key).agg(F.max_by(ident, F.struct(at, ident)).alias(ident)).select(ident)
+    return df.join(best, ident, "left_semi")
+
+
 def build_cases(raw: DataFrame, cfg: EngineConfig = DEFAULT, with_nfkc: bool = True) -> DataFrame:
     """Raw notes to clean cases: dedup on the original note, clean, drop short ones, derive the attributes.
 

@@ -278,6 +278,8 @@ ORACLE = {
     "corpus_dedup": CORPUS_DEDUP,
     "corpus_clean_text": CORPUS_CLEAN,
     "corpus_min_length": CORPUS_MIN_LENGTH,
+    "corpus_point_id": """WITH h AS (SELECT row_no, sha1('\\x6B\\xA7\\xB8\\x10\\x9D\\xAD\\x11\\xD1\\x80\\xB4\\x00\\xC0\\x4F\\xD4\\x30\\xC8'::BLOB || encode(case_id)) AS h FROM cases_clean)
+        SELECT row_no, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substring('89ab', CAST(('0x' || h[17:17])::BIGINT % 4 AS BIGINT) + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h""",
     "corpus_note_checks": CORPUS_NOTE_CHECKS,
     "corpus_duplicates": CORPUS_DUPLICATES,
     "summary_attributes": SUMMARY_ATTRIBUTES,

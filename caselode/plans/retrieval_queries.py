@@ -18,7 +18,7 @@ EVERY = 50  # ids divisible by this are the stated query set
 
 def latest_cases(spark: SparkSession, d: str) -> DataFrame:
     cases = table(spark, d, "cases_clean").select("case_id", "row_no", "built_at", "document", "reference_note", "sex", "age", "outcome_class")
-    return corpus.latest_wins(cases, ["case_id"], ["built_at", "row_no"])
+    return corpus.latest_rows(cases, "case_id", "built_at", "row_no")
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:

@@ -375,6 +375,13 @@ ORACLE = {
               || substring(coalesce(document, ''), 1, 4500) AS block FROM w JOIN c USING (case_id)),
         x AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY position) AS context FROM b GROUP BY query_id)
         SELECT query_id, md5(context) AS context, length(context) AS n_chars FROM x""",
+    "explain_prompt": """WITH c AS (SELECT * FROM cases_clean QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY built_at DESC, row_no DESC) = 1),
+        w AS (SELECT query_id, query, generate_subscripts(relevant_case_ids, 1) AS position, unnest(relevant_case_ids) AS case_id FROM gold_queries),
+        b AS (SELECT query_id, query, position, '=== CASE ' || case_id || ' (' || coalesce(sex, 'unknown') || ', ' || coalesce(age::VARCHAR, 'unknown') || ', ' || coalesce(outcome_class, 'unknown') || ') ===' || chr(10)
+              || substring(coalesce(document, ''), 1, 4500) AS block FROM w JOIN c USING (case_id)),
+        x AS (SELECT query_id, 'QUERY' || chr(10) || query || chr(10) || chr(10) || 'CASES' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY position)
+              || chr(10) || chr(10) || 'Compare each case with the query. Answer in JSON with explanations[]; cite case ids for every claim; give no advice.' AS prompt FROM b GROUP BY query_id, query)
+        SELECT query_id, md5(prompt) AS prompt, length(prompt) AS n_chars FROM x""",
     "cache_keys": """SELECT query_id, 'explain:' || sha256('{"ids":["' || array_to_string(list_sort(relevant_case_ids), '","') || '"],"q":"' || query || '","v":"v1"}') AS cache_key FROM gold_queries""",
 }
 QUERIES = {
