@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselode.functions.text import tokens
+from caselode.operators.skew import salted_join
 
 QUERY_BLOCK = 2000
 
@@ -69,7 +70,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     """(query_id, term, qtf)."""
     return (
-        queries.select(F.col(key).alias("query_id"), F.explode(tokens(F.col(text))).alias("term"))
+        queries.select(F.col(key).alias("query_id"), F.explode_outer(tokens(F.col(text))).alias("term"))
+        .where("term is not null")
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
@@ -81,16 +83,17 @@ def sparse_scores(corpus: DataFrame, key: str, text: str, terms: DataFrame) -> D
     Only words of the queries leave the scan: the stated query set's terms are broadcast when there are at most
     BROADCAST_TERMS of them, and joined by shuffle beyond that. Integer products keep sums exact.
     """
-    words = corpus.select(F.col(key), tokens(F.col(text)).alias("w")).where("size(w) > 0")
-    each = words.select(key, F.size("w").alias("len"), F.explode("w").alias("term"))
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    wanted = terms.select("term").distinct()
-    each = each.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
-    tf = each.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    joined = tf.join(F.broadcast(terms) if small else terms, "term")
-    return joined.groupBy("query_id", key, "len").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot")).select(
-        "query_id", key, F.round(F.col("dot") / F.sqrt("len"), 6).alias("score")
-    )
+    words = corpus.select(F.col(key), tokens(F.col(text)).alias("w"))
+    # outer, so that no filter that would part the text a second time is inferred; null terms join nothing
+    each = words.select(key, F.size("w").alias("len"), F.explode_outer("w").alias("term"))
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # each occurrence adds the term's weight in the query: no shuffle before the sums
+        hits = each.join(F.broadcast(terms), "term").groupBy("query_id", key, "len").agg(F.sum("qtf").alias("dot"))
+    else:
+        tf = each.join(terms.select("term").distinct(), "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+        joined = salted_join(tf, terms, ["term"], [key])
+        hits = joined.groupBy("query_id", key, "len").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
+    return hits.select("query_id", key, F.round(F.col("dot") / F.sqrt("len"), 6).alias("score"))
 
 
 BROADCAST_TERMS = 200_000
