@@ -1,7 +1,7 @@
 """Cutting oversized texts at natural boundaries (problem 3).
 
 Every position between two units (characters, words or UTF-8 bytes) has a boundary strength: section 6,
-paragraph 5, line or list item 4, sentence 3, clause 2, word 1, none 0; positions inside a character or a
+paragraph 5, line or list item 4 (not the wrapped line of a sentence), sentence 3, clause 2, word 1, none 0; positions inside a character or a
 line break are not permitted at all. For a piece that starts at s the cut is the strongest position in the
 window (s + least, s + max_size], ties broken to the right; the next piece starts ``overlap`` units before
 the cut. Range maxima come from a sparse table whose entries hold strength and position in one integer, so
@@ -27,6 +27,7 @@ KINDS = ("none", "word", "clause", "sentence", "line", "paragraph", "section")
 MAX_LIMITS = 1000
 _HEADING = re.compile(r"(?:\A|(?<=\n))(?=(?:#{1,6}[ \t]+\S|[^\W\d_][^\n.!?|;,]{1,48}:?[ \t]*\r?\n))")
 _SHIFT = 40
+_ENDS = np.array([46, 33, 63, 58, 59, 0x2026, 0x3002])
 
 
 def _spaces(cp: np.ndarray) -> np.ndarray:
@@ -53,7 +54,10 @@ def strengths(text: str) -> tuple[np.ndarray, np.ndarray]:
         level[np.isin(before, [46, 33, 63, 0x2026, 0x3002])] = SENTENCE
         breaks = np.concatenate([[0], np.cumsum(cp == 10)])
         lines = breaks[starts] - breaks[last + 1]
-        level[lines == 1] = LINE
+        # a line break inside a sentence (nothing ends before it, and small letters go on) is no pause
+        single = np.flatnonzero(lines == 1)
+        goes_on = np.fromiter((chr(c).islower() for c in cp[starts[single]]), dtype=bool, count=len(single))
+        level[single[~goes_on | np.isin(before[single], _ENDS)]] = LINE
         level[lines > 1] = PARAGRAPH
         out[starts] = level
         for m in _HEADING.finditer(text):

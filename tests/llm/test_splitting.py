@@ -46,6 +46,13 @@ def test_natural_boundaries_win():
     assert text[a:b].endswith("\n\n") and level == s.PARAGRAPH
 
 
+def test_wrapped_lines_are_no_pause():
+    strength, _ = s.strengths("He was seen by\nthe doctor. She left\n- one item\n- two items, and\nmore of it")
+    text = "He was seen by\nthe doctor. She left\n- one item\n- two items, and\nmore of it"
+    assert strength[text.index("the")] == s.WORD and strength[text.index("She")] == s.SENTENCE
+    assert strength[text.index("- one")] == strength[text.index("- two")] == s.LINE and strength[text.index("more")] == s.WORD
+
+
 def test_table(spark):
     docs = spark.createDataFrame([(1, "a b c " * 20, 7), (2, None, 7), (3, "", 7), (4, "a b", 7), (4, "a b", 7), (5, "x" * 300_000, 7)], "row_no long, document string, size int")
     limits = spark.createDataFrame([("w", "words", 10, 2), ("c", "chars", 100, 10), ("b", "bytes", 64, 0)], "limit_id string, unit string, max_size int, overlap int")
