@@ -90,18 +90,22 @@ def cuts(strength: np.ndarray, max_size: int, overlap: int) -> list[tuple[int, i
     least = max(overlap + 1, (max_size + 1) // 2)  # a piece is never shorter, and each step goes on
     length = max_size - least + 1
     row = rightmost_maxima(strength, length)
-    pieces, s = [], 0
+    pieces, s, last = [], 0, 0
     while n - s > max_size:
         best = int(row[s + least])
         e = best & ((1 << _SHIFT) - 1)
-        if best >> _SHIFT == 0:  # nothing permitted in the window: look further left, then take what is there
-            left = np.flatnonzero(strength[s + overlap + 1 : s + least] >= 0)
-            e = s + overlap + 1 + int(left[-1]) if len(left) else s + max_size
+        if e <= last or best >> _SHIFT == 0:
+            # the start was moved back, or nothing is permitted in the window: the rightmost permitted cut beyond the last one
+            free = np.flatnonzero(strength[last + 1 : s + max_size + 1] >= 0)
+            if not len(free) and last > s:
+                s = last  # the overlap leaves no room for a permitted cut: go on without it
+                continue
+            e = last + 1 + int(free[-1]) if len(free) else s + max_size
         pieces.append((s, e))
         back = e - overlap
         while back > s + 1 and strength[back] < 0:
             back -= 1
-        s = back if back > s else e
+        s, last = (back if s < back and strength[back] >= 0 and back + max_size > e else e), e
     pieces.append((s, n))
     return pieces
 

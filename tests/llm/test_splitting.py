@@ -12,7 +12,7 @@ def units(text, unit):
     return len(text) if unit == "chars" else len(text.encode()) if unit == "bytes" else len(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")) - sum(w == "" for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(TEXT, st.sampled_from(["chars", "words", "bytes"]), st.integers(8, 40), st.integers(0, 4))
 def test_pieces_are_whole_small_and_overlap(text, unit, most, overlap):
     got = s.pieces(text, unit, most, overlap)
@@ -25,7 +25,7 @@ def test_pieces_are_whole_small_and_overlap(text, unit, most, overlap):
     for (a, b, _, _), (c, d, _, _) in zip(got, got[1:]):
         assert a < c <= b + (unit == "words") * 10**6 and d > b
         if unit == "chars":
-            assert b - c >= overlap or c == a + 1
+            assert b - c >= overlap or c == b
 
 
 def test_cut_is_the_rightmost_strongest():
