@@ -38,4 +38,25 @@ def p5_doses(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_nodes, p5_schema, p5_symptoms, p5_treatments, p5_doses)}
-ORACLE: dict[str, str] = {}
+# DuckDB takes commas before closers for valid; they are ruled out by pattern
+_TREE = r"""
+WITH RECURSIVE one AS (
+  SELECT line_no, CASE WHEN json_valid(summary) AND NOT regexp_matches(summary, ',\s*[}\]]') THEN summary END AS s FROM augmented_notes_30k),
+two AS (
+  SELECT line_no, CASE WHEN json_type(s) = 'OBJECT' THEN s WHEN json_type(s) = 'VARCHAR' THEN json_extract_string(s, '$') END AS s FROM one WHERE s IS NOT NULL),
+docs AS (SELECT line_no, CAST(s AS JSON) AS j FROM two WHERE s IS NOT NULL AND json_valid(s) AND NOT regexp_matches(s, ',\s*[}\]]') AND json_type(s) = 'OBJECT'),
+nodes AS (
+  SELECT line_no, '' AS path, '' AS parent, '' AS shape, j FROM docs
+  UNION ALL
+  SELECT n.line_no, CASE WHEN n.path = '' THEN e.key ELSE n.path || '/' || e.key END,
+         CASE WHEN json_type(n.j) = 'OBJECT' THEN n.path ELSE n.parent END,
+         CASE WHEN json_type(n.j) = 'ARRAY' THEN n.shape || '[]' WHEN n.shape = '' THEN e.key ELSE n.shape || '/' || e.key END, e.value
+  FROM nodes n, json_each(n.j) e WHERE json_type(e.value) IN ('OBJECT', 'ARRAY')),
+objects AS (SELECT * FROM nodes WHERE path <> '' AND json_type(j) = 'OBJECT')
+"""
+ORACLE = {
+    "p5_found": _TREE + "SELECT line_no, path AS node_path, parent AS parent_path FROM objects",
+    "p5_schema": _TREE
+    + """, members AS (SELECT o.line_no, o.path, o.shape, e.key FROM objects o, json_each(o.j) e WHERE json_type(e.value) NOT IN ('OBJECT', 'ARRAY', 'NULL'))
+SELECT o.shape, m.key AS attribute, count(*) AS objects FROM objects o LEFT JOIN members m ON m.line_no = o.line_no AND m.path = o.path GROUP BY ALL""",
+}

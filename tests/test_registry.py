@@ -43,3 +43,11 @@ def test_query_equals_sql(spark, views, name):
 @NEEDS_DATA
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@NEEDS_DATA
+def test_nested_contract(spark):
+    got = entry.queries()["p5_found"](spark, SF)
+    assert got.dtypes == [("line_no", "bigint"), ("node_path", "string"), ("parent_path", "string")]
+    rows = [tuple(r) for r in got.collect()]
+    assert rows and len(rows) == len(set(rows))
