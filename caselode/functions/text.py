@@ -16,9 +16,9 @@ SEX_WORDS = {
     "female": ("female", "woman", "girl", "lady", "f", "trans woman"),
 }
 DECEASED = r"(?i)\b(?:died|death|expired|deceased|passed away|fatal)\b"
-DETERIORATED = r"(?i)\b(?:deteriorat|worsen|progress(?:ed|ion of disease)|relapse|recurren)\w*"
+DETERIORATED = r"(?i)\b(?:deteriorat|worsen|progress(?:ed|ion) of disease|relapse|recurren)\w*"
 IMPROVED = (
-    r"(?i)\b(?:improv|recover|resolv|discharged (?:home|in (?:a )?(?:stable|good))|stable condition|symptom-free"
+    r"(?i)\b(?:improv|recover|resolv|discharged (?:home|in (?:a )?(?:stable|good))|stable condition|symptom[- ]free"
     r"|uneventful|good condition|well at follow)\w*"
 )
 AGE = r"(\d{1,3})\s*[-–\s]?\s*(year|yr|y/o|yo|month|week|day)?"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselode.config import DEFAULT, EngineConfig
-from caselode.functions import text as T
+from caselode.functions import json_repair, text as T
 from caselode.operators.skew import SALTS, salt_of
 
 
@@ -39,25 +39,27 @@ def build_cases(raw: DataFrame, cfg: EngineConfig = DEFAULT, with_nfkc: bool = T
     """
     clean = T.clean_text if with_nfkc else T.clean_layout
     first = keep_first(raw, T.text_hash(F.col("note")), "line_no")
-    info = F.try_parse_json("summary")
-    ok = F.expr("try_variant_get(_s, '$', 'map<string,variant>')").isNotNull()
+    values = F.map_values(F.expr("try_variant_get(_v, '$.discharge', 'map<string,variant>')"))
+    discharge = F.array_join(F.transform(values, lambda v: F.try_variant_get(v, "$", "string")), " ")
+    missing = F.col("_s.status") == "failed"
     return (
         first.withColumn("document", clean(T.fallback(F.col("full_note"), F.col("note"))))
         .where(T.word_count(F.col("document")) >= cfg.min_words)
-        .withColumn("_s", info)
-        .withColumn("_ok", ok)
-        .withColumn("age", T.normalize_age(F.expr("""try_variant_get(_s, '$["patient information"].age', 'string')""")))
+        .withColumn("_s", json_repair.parsed("summary"))
+        .withColumn("_v", F.try_parse_json("_s.json"))
+        .withColumn("age", T.normalize_age(F.expr("""try_variant_get(_v, '$["patient information"].age', 'string')""")))
         .select(
             "line_no",
             F.concat(F.lit("acn-"), F.coalesce("idx", F.col("line_no").cast("string"))).alias("case_id"),
             "document",
             F.col("note").alias("reference_note"),
-            F.when(F.col("_ok"), "ok").otherwise("failed").alias("summary_status"),
-            T.normalize_sex(F.expr("""try_variant_get(_s, '$["patient information"].sex', 'string')""")).alias("sex"),
+            F.col("_s.json").alias("summary"),
+            F.col("_s.status").alias("summary_status"),
+            T.normalize_sex(F.expr("""try_variant_get(_v, '$["patient information"].sex', 'string')""")).alias("sex"),
             "age",
             T.age_band(F.col("age")).alias("age_band"),
-            T.outcome_class(F.col("document"), F.expr("try_variant_get(_s, '$.discharge', 'string')")).alias("outcome_class"),
-            F.when(F.col("_ok"), F.slice(F.array(F.lit("")), 1, 0)).otherwise(F.array(F.lit("no_structured_summary"))).alias("quality_flags"),
+            T.outcome_class(F.col("document"), discharge).alias("outcome_class"),
+            F.when(missing, F.array(F.lit("no_structured_summary"))).otherwise(F.slice(F.array(F.lit("")), 1, 0)).alias("quality_flags"),
         )
     )
 

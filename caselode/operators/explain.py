@@ -10,7 +10,7 @@ from caselode.config import DEFAULT, EngineConfig
 BANNED = (
     r"(?i)\bthe (?:query )?patient (?:has|is suffering from|should)\b",
     r"(?i)\b(?:you|the clinician) should (?:prescribe|administer|order|start)\b",
-    r"(?i)\b(?:the )?diagnosis (?:for the query patient )?is\b",
+    r"(?i)\bdiagnosis (?:for the query patient )?is\b",
     r"(?i)\bwe (?:diagnose|recommend treating)\b",
 )
 # End of fixed values.

@@ -364,7 +364,7 @@ ORACLE = {
           regexp_extract_all(document, '(?i){negation._TRIGGER}') AS trig FROM cases_clean WHERE document IS NOT NULL),
         w AS (SELECT row_no, list_transform(range(1, len(trig) + 1), lambda i: substring(document,
           CAST(1 + list_sum(list_transform(seg[1:i], lambda x: length(x))) + list_sum(list_transform(trig[1:i], lambda x: length(x))) AS BIGINT), 80)) AS l FROM p),
-        s AS (SELECT row_no, list_filter(list_transform(l, lambda x: regexp_extract(x, '(?is)^(.*?)(?:{_END_SQL}|$)', 1)), lambda x: trim(x) <> '') AS l FROM w)
+        s AS (SELECT row_no, list_filter(list_transform(l, lambda x: regexp_extract(x, '(?is)^(.*?)(?:{_END_SQL}|$)', 1)), lambda x: x <> '') AS l FROM w)
         SELECT row_no, len(l) AS n, md5(array_to_string(l, '|')) AS scopes FROM s""",
     "negation_triggers": f"SELECT trigger, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(document), '{negation._TRIGGER}')) AS trigger FROM cases_clean) GROUP BY trigger",
     "match_labels": f"""{R._FUSED_SQL} SELECT CASE WHEN score >= 0.5::DOUBLE THEN 'high' WHEN score >= 0.34::DOUBLE THEN 'moderate' ELSE 'weak' END AS label, count(*) AS hits
