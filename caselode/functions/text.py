@@ -25,13 +25,17 @@ AGE = r"(\d{1,3})\s*[-–\s]?\s*(year|yr|y/o|yo|month|week|day)?"
 # End of fixed values.
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Compatibility composition; null for null. ASCII texts are passed through."""
+def _composed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
         yield part.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+#: Compatibility composition; null for null. ASCII texts are passed through.
+nfkc = F.pandas_udf(_composed, T.StringType())
+#: The same, held back from being copied into filters, so that each text is composed once.
+nfkc_once = F.pandas_udf(_composed, T.StringType()).asNondeterministic()
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind around."""
     return F.regexp_replace(c, r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", "")
@@ -50,7 +54,7 @@ def clean_layout(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """The whole cleaning: NFKC, then layout."""
-    return clean_layout(nfkc(c))
+    return clean_layout(nfkc_once(c))
 
 
 def word_count(c: Column) -> Column:
