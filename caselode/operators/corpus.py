@@ -9,6 +9,9 @@ from caselode.functions import json_repair, text as T
 from caselode.operators.skew import SALTS, salt_of
 
 
+MAX_STRATA = 100_000
+
+
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     """The row of least ``order`` per key. The key's partial minima are merged, so a key of any size is no hot group."""
     first = df.groupBy(key.alias("_key")).agg(F.min(order).alias(order)).select(order)
@@ -111,9 +114,12 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, size: int, see
     Quota of a stratum: round(size x n / N), half to even, at most n (with ``at_least_one`` at least 1). Order in a
     stratum: hash of key and seed. Missing rows are topped up and surplus ones cut in hash order. A stratum is first
     cut to its quota in parts, so no task sorts a whole stratum. Keys are taken as unique.
+    Quotas are broadcast; more than MAX_STRATA strata raise ValueError.
     """
     rows = df.withColumn("_h", F.sha2(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))), 256))
     counts = df.groupBy(*strata).agg(F.count("*").alias("_n"))
+    if counts.limit(MAX_STRATA + 1).count() > MAX_STRATA:
+        raise ValueError(f"over {MAX_STRATA} strata")
     total = counts.agg(F.sum("_n").alias("_all"))
     quota = F.least(F.bround(F.lit(size) * F.col("_n") / F.col("_all")), F.col("_n")).cast("long")
     if at_least_one:

@@ -141,12 +141,13 @@ def mean_latency(spark: SparkSession, d: str) -> DataFrame:
     return log.groupBy("profile").agg(F.count("took_ms").alias("requests"), F.round(F.avg("took_ms"), 1).alias("mean_ms"))
 
 
-def gold_acceptance(spark: SparkSession, d: str) -> DataFrame:
-    """Which gold queries the acceptance rule keeps: 8..45 words, not the model talking about itself."""
-    bare = F.regexp_replace(T.strip(F.regexp_replace("query", r'^[\s"]+|[\s"]+$', "")), r"\s+", " ")
+def query_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """Which texts the rule for generated queries keeps: 8..45 words, not the model talking about itself."""
+    bare = F.regexp_replace(T.strip(F.regexp_replace("text", r'^[\s"]+|[\s"]+$', "")), r"[\s\p{Z}\x{85}]+", " ")
     words = F.size(F.split(bare, " ")).cast("long")
     own = F.lower(bare).rlike(r"^(?:i |sorry|here)")
-    return table(spark, d, "gold_queries").select("query_id", words.alias("words"), (words.between(8, 45) & ~own).alias("accepted"))
+    told = table(spark, d, "documents").where("text is not null")
+    return told.select("lang", (words.between(8, 45) & ~own).alias("accepted")).groupBy("lang", "accepted").agg(F.count("*").alias("texts"))
 
 
 def index_health(spark: SparkSession, d: str) -> DataFrame:
@@ -211,8 +212,17 @@ def negation_triggers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def negation_parse_query(spark: SparkSession, d: str) -> DataFrame:
+    """Terms every served search asserts and denies, by how often they were asked for."""
+    log = usage.distinct_requests(table(spark, d, "search_log")).groupBy("query_id").agg(F.count("*").alias("asked"))
     p = negation.query_polarity("query")
-    return table(spark, d, "gold_queries").select("query_id", p.alias("p")).select("query_id", "p.positive", "p.negative")
+    told = table(spark, d, "gold_queries").select("query_id", p.alias("p"))
+    return log.join(told, "query_id").select("query_id", "asked", "p.positive", "p.negative")
+
+
+def document_polarity(spark: SparkSession, d: str) -> DataFrame:
+    """Terms each case document asserts and denies, counted."""
+    p = negation.query_polarity("document")
+    return table(spark, d, "cases_clean").select("row_no", p.alias("p")).select("row_no", F.size("p.positive").alias("asserted"), F.size("p.negative").alias("denied"))
 
 
 def _profile(spark: SparkSession, d: str, thorough: bool) -> DataFrame:
@@ -266,7 +276,11 @@ def explain_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "gold_queries").select("query_id", explain.cache_key(F.col("query"), F.col("relevant_case_ids")).alias("cache_key"))
+    """Cache key of every logged search whose top case would be explained."""
+    log = table(spark, d, "search_log").where("top_case_id is not null").select("log_id", "query_id", F.array("top_case_id").alias("ids"))
+    told = table(spark, d, "gold_queries").select("query_id", "query", "relevant_case_ids")
+    key = explain.cache_key(F.col("query"), F.concat("ids", "relevant_case_ids"))
+    return log.join(told, "query_id").select("log_id", key.alias("cache_key"))
 
 
 def explain_prompt(spark: SparkSession, d: str) -> DataFrame:
@@ -317,8 +331,9 @@ ORACLE = {
         SELECT query_id, top_case_id, n, round(n / sum(n) OVER (PARTITION BY query_id), 4) AS share FROM c
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, best DESC, top_case_id DESC) = 1""",
     "mean_latency": f"SELECT profile, count(took_ms) AS requests, round(avg(took_ms), 1) AS mean_ms FROM {_LOG1} GROUP BY profile",
-    "gold_acceptance": r"""WITH b AS (SELECT query_id, regexp_replace(regexp_replace(query, '^[\s"]+|[\s"]+$', '', 'g'), '\s+', ' ', 'g') AS q FROM gold_queries)
-        SELECT query_id, len(string_split(q, ' ')) AS words, len(string_split(q, ' ')) BETWEEN 8 AND 45 AND NOT regexp_matches(lower(q), '^(?:i |sorry|here)') AS accepted FROM b""",
+    "query_acceptance": r"""WITH a AS (SELECT lang, regexp_replace(text, '^[\s"]+|[\s"]+$', '', 'g') AS q FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT lang, regexp_replace(regexp_replace(q, '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g'), '[\s\x{85}\p{Z}]+', ' ', 'g') AS q FROM a)
+        SELECT lang, len(string_split(q, ' ')) BETWEEN 8 AND 45 AND NOT regexp_matches(lower(q), '^(?:i |sorry|here)') AS accepted, count(*) AS texts FROM b GROUP BY ALL""",
     "index_health": """SELECT *, CASE WHEN points > 0 THEN 'ok' ELSE 'degraded' END AS status FROM
         (SELECT count(DISTINCT case_id) AS points, count(case_id) - count(DISTINCT case_id) AS old_versions FROM cases_clean),
         (SELECT count(*) AS searches, count(*) FILTER (top_case_id IS NULL) AS empty_searches FROM search_log)""",
@@ -382,7 +397,8 @@ ORACLE = {
         x AS (SELECT query_id, 'QUERY' || chr(10) || query || chr(10) || chr(10) || 'CASES' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY position)
               || chr(10) || chr(10) || 'Compare each case with the query. Answer in JSON with explanations[]; cite case ids for every claim; give no advice.' AS prompt FROM b GROUP BY query_id, query)
         SELECT query_id, md5(prompt) AS prompt, length(prompt) AS n_chars FROM x""",
-    "cache_keys": """SELECT query_id, 'explain:' || sha256('{"ids":["' || array_to_string(list_sort(relevant_case_ids), '","') || '"],"q":"' || query || '","v":"v1"}') AS cache_key FROM gold_queries""",
+    "cache_keys": """SELECT log_id, 'explain:' || sha256('{"ids":["' || array_to_string(list_sort(list_prepend(top_case_id, relevant_case_ids)), '","') || '"],"q":"' || query || '","v":"v1"}') AS cache_key
+        FROM search_log JOIN gold_queries USING (query_id) WHERE top_case_id IS NOT NULL""",
 }
 QUERIES = {
     f.__name__: f
@@ -392,6 +408,6 @@ QUERIES = {
         source_late_rows, lab_trends, event_windows, event_sessions, budget_packing, pricing_summary, nation_revenue, top_orders,
         negated_scopes, negated_spans, negation_triggers, negation_parse_query, search_fast, search_thorough, match_labels,
         explain_context, explain_prompt, explain_validate, explain_fallback, citation_validity, cache_keys, summary_status,
-        mean_latency, gold_acceptance, index_health, precision_by_month, term_statuses,
+        mean_latency, query_acceptance, document_polarity, index_health, precision_by_month, term_statuses,
     )
 }
