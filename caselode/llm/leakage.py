@@ -173,7 +173,7 @@ def _block_alignments(docs: DataFrame, items: list[tuple[object, str]], item_typ
     seed_table = spark.createDataFrame(seeds, f"gram long, item_id {item_type}, item_at int")
     links = (
         passages.select("doc_id", F.explode(F.array_distinct("grams")).alias("gram"))
-        .join(seed_table, "gram")
+        .join(F.broadcast(seed_table), "gram")  # at most a seed per window of BLOCK_ITEMS items
         .groupBy("doc_id", "item_id")
         .agg(F.count("*").alias("seeds"))
     )
