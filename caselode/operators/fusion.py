@@ -14,10 +14,10 @@ def minmax(score: Column, *by: str) -> Column:
     return (score - low) / F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
 
 
-def _both(dense: DataFrame, sparse: DataFrame, key: str) -> DataFrame:
-    one = dense.select("query_id", key, F.col("score").alias("d_score"), F.col("rank").alias("d_rank"))
-    two = sparse.select("query_id", key, F.col("score").alias("s_score"), F.col("rank").alias("s_rank"))
-    return one.join(two, ["query_id", key], "full_outer")
+def _both(dense: DataFrame, sparse: DataFrame, key: str, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    one = dense.select(*by, key, F.col("score").alias("d_score"), F.col("rank").alias("d_rank"))
+    two = sparse.select(*by, key, F.col("score").alias("s_score"), F.col("rank").alias("s_rank"))
+    return one.join(two, [*by, key], "full_outer")
 
 
 def _order(key: str) -> list[Column]:
@@ -25,13 +25,16 @@ def _order(key: str) -> list[Column]:
     return [F.desc("score"), F.asc_nulls_last("d_rank"), F.asc_nulls_last("s_rank"), F.col(key)]
 
 
-def weighted(dense: DataFrame, sparse: DataFrame, key: str, alpha: float | Column = DEFAULT.alpha, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """alpha x norm(first) + (1 - alpha) x norm(second), 4 digits; a text missing on one side counts 0 there."""
-    a = F.lit(alpha) if isinstance(alpha, float) else alpha
-    d = dense.withColumn("score", minmax(F.col("score"), "query_id"))
-    s = sparse.withColumn("score", minmax(F.col("score"), "query_id"))
+def weighted(dense: DataFrame, sparse: DataFrame, key: str, alpha: float | str = DEFAULT.alpha, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """alpha x norm(first) + (1 - alpha) x norm(second), 4 digits; a text missing on one side counts 0 there.
+
+    ``alpha`` may name a column of ``by`` that both lists carry, for sweeps.
+    """
+    a = F.col(alpha) if isinstance(alpha, str) else F.lit(alpha)
+    d = dense.withColumn("score", minmax(F.col("score"), *by))
+    s = sparse.withColumn("score", minmax(F.col("score"), *by))
     score = F.round(a * F.coalesce("d_score", F.lit(0.0)) + (1 - a) * F.coalesce("s_score", F.lit(0.0)), 4)
-    fused = _both(d, s, key).withColumn("score", score)
+    fused = _both(d, s, key, by).withColumn("score", score)
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*_order(key))))
 
 

@@ -251,10 +251,8 @@ def metrics_by_mode(spark: SparkSession, d: str) -> DataFrame:
 
 def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
     doc, note = (cut_lineage(x) for x in _lists(spark, d))
-    parts = None
-    for alpha in (0.3, 0.4, 0.5, 0.6, 0.7):
-        part = fusion.weighted(doc, note, "case_id", alpha).select(F.lit(alpha).alias("alpha"), "query_id", "case_id", "rank")
-        parts = part if parts is None else parts.unionByName(part)
+    alphas = F.broadcast(spark.createDataFrame([(x,) for x in (0.3, 0.4, 0.5, 0.6, 0.7)], "alpha double"))  # five settings
+    parts = fusion.weighted(doc.crossJoin(alphas), note.crossJoin(alphas), "case_id", "alpha", ("alpha", "query_id"))
     table_ = evaluate.metrics(evaluate.hit_ranks(_gold(spark, d), parts, "case_id", by=("alpha",)), ("alpha",))
     return evaluate.best_setting(table_, "ndcg_10", ["alpha"])
 
