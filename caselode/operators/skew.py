@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 SALTS = 8
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores (a few small files) dealt over all cores; a larger one as it is.
+
+    For narrow plans over files, before work that is heavy per row; select the columns needed first.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def salt_of(*columns: str | Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 

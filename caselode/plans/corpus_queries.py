@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselode.functions import text as T
 from caselode.operators import corpus
+from caselode.operators.skew import spread
 from caselode.sources.tables import table
 
 WS = r"[\s\x{85}\p{Z}]"
@@ -72,7 +73,8 @@ def corpus_nfkc_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_cases(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.build_cases(table(spark, d, "augmented_notes_30k"))
+    raw = table(spark, d, "augmented_notes_30k").select("line_no", "idx", "note", "full_note", "summary")
+    return corpus.build_cases(spread(raw))
 
 
 def corpus_min_length(spark: SparkSession, d: str) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselode.operators import nested
+from caselode.operators.skew import spread
 from caselode.sources.tables import table
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.node_rows(table(spark, d, "augmented_notes_30k"), "line_no", "summary")
+    notes = spread(table(spark, d, "augmented_notes_30k").select("line_no", "summary"))
+    return nested.node_rows(notes, "line_no", "summary")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselode.operators import ann, corpus, evaluate, fusion, retrieve
 from caselode.operators.filters import SearchFilters
+from caselode.operators.skew import spread
 from caselode.session import cut_lineage
 from caselode.sources.tables import table
 
@@ -26,7 +27,8 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _branch(spark: SparkSession, d: str, text: str, n: int = 100, filters: SearchFilters | None = None) -> DataFrame:
-    cases = latest_cases(spark, d)
+    columns = ["case_id", "row_no", "built_at", text, *(["sex", "age", "outcome_class"] if filters else [])]
+    cases = corpus.latest_rows(spread(table(spark, d, "cases_clean").select(columns)), "case_id", "built_at", "row_no")
     cases = filters.apply(cases) if filters else cases
     return retrieve.sparse_topn(cases, "case_id", text, _gold(spark, d), "query_id", "query", n)
 
