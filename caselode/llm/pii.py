@@ -373,8 +373,9 @@ def weak_labels(s: str, names: set[str], model: Model) -> set[tuple[int, int, st
         return all(b <= x or y <= a for x, y, _ in gold)
 
     for kind in ("email", "address"):
-        for form in _FORMS[kind]:
-            gold.extend((m.start(), m.end(), kind) for m in form.finditer(s) if free(*m.span()))
+        for i, form in enumerate(_FORMS[kind]):
+            if _NEEDS.get((kind, i), _DIGIT).search(s):
+                gold.extend((m.start(), m.end(), kind) for m in form.finditer(s) if free(*m.span()))
     for m in _FORMS["phone"][1].finditer(s):
         gold.append((*m.span(), "phone"))
     numbers = [c for c in model.candidates(s) if c[2] in ("phone", "id_number")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselode.llm import canonical, leakage, pii, proportions, quality, splitting, tokens
+from caselode.operators.skew import spread
 from caselode.sources.tables import table
 
 
@@ -37,8 +38,8 @@ SELECT plan_id, outcome_class FROM need WHERE available < needed
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    notes = canonical.lookalike_pairs(table(spark, d, "augmented_notes_30k"), "line_no", "note")
-    documents = canonical.lookalike_pairs(table(spark, d, "cases_clean"), "row_no", "document")
+    notes = canonical.lookalike_pairs(spread(table(spark, d, "augmented_notes_30k").select("line_no", "note")), "line_no", "note")
+    documents = canonical.lookalike_pairs(spread(table(spark, d, "cases_clean").select("row_no", "document")), "row_no", "document")
     return notes.select(F.lit("note").alias("field_name"), "key_a", "key_b").unionByName(
         documents.select(F.lit("document").alias("field_name"), "key_a", "key_b")
     )
@@ -52,7 +53,7 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
-    return splitting.split_texts(table(spark, d, "cases_clean"), "row_no", "document", table(spark, d, "split_limits"), with_text)
+    return splitting.split_texts(spread(table(spark, d, "cases_clean").select("row_no", "document")), "row_no", "document", table(spark, d, "split_limits"), with_text)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +72,8 @@ WHERE CASE unit WHEN 'chars' THEN length(document) WHEN 'bytes' THEN strlen(docu
 
 
 def _private_texts(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, float]]:
-    documents = table(spark, d, "cases_clean").select(F.lit("document").alias("field_name"), F.col("row_no").alias("row_key"), F.col("document").alias("text"))
-    talks = table(spark, d, "augmented_notes_30k").select(F.lit("conversation").alias("field_name"), F.col("line_no").alias("row_key"), F.col("conversation").alias("text"))
+    documents = spread(table(spark, d, "cases_clean").select(F.lit("document").alias("field_name"), F.col("row_no").alias("row_key"), F.col("document").alias("text")))
+    talks = spread(table(spark, d, "augmented_notes_30k").select(F.lit("conversation").alias("field_name"), F.col("line_no").alias("row_key"), F.col("conversation").alias("text")))
     return documents.unionByName(talks), pii.fit([documents, talks])
 
 
@@ -86,13 +87,17 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(texts, weights)
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     encode = tokens.encoder("byte_bpe_50k")
-    return table(spark, d, "documents").select("doc_id", encode(F.col("text")).alias("ids"))
+    return _documents(spark, d).select("doc_id", encode(F.col("text")).alias("ids"))
 
 
 def _alignments(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leak_alignments(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
+    return leakage.leak_alignments(_documents(spark, d), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +111,7 @@ def p7_alignments(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.prose_report(
-        table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"), table(spark, d, "form_labels")
+        _documents(spark, d), "doc_id", "text", table(spark, d, "common_words"), table(spark, d, "form_labels")
     )
 
 
