@@ -3,8 +3,8 @@
 Every position between two units (characters, words or UTF-8 bytes) has a boundary strength: section 6,
 paragraph 5, line or list item 4 (not the wrapped line of a sentence), sentence 3, clause 2, word 1, none 0; positions inside a character or a
 line break are not permitted at all. For a piece that starts at s the cut is the strongest position in the
-window (s + least, s + max_size], ties broken to the right; the next piece starts ``overlap`` units before
-the cut. Range maxima come from a sparse table whose entries hold strength and position in one integer, so
+window [s + least, s + max_size], ties broken to the right; where that holds no boundary, the strongest one
+before it that still lets the next piece go on; the next piece starts ``overlap`` units before the cut. Range maxima come from a sparse table whose entries hold strength and position in one integer, so
 the maximum is its own rightmost argument; all windows of one limit have the same length, so just the table's
 row for that length is kept while it is built.
 
@@ -87,14 +87,19 @@ def cuts(strength: np.ndarray, max_size: int, overlap: int) -> list[tuple[int, i
         return []
     if not 0 <= overlap < max_size:
         raise ValueError("overlap must be at least 0 and smaller than max_size")
-    least = max(overlap + 1, (max_size + 1) // 2)  # a piece is never shorter, and each step goes on
+    least = max(overlap + 1, (max_size + 1) // 2)  # a piece is shorter only where no boundary stands beyond, and each step goes on
     length = max_size - least + 1
     row = rightmost_maxima(strength, length)
     pieces, s, last = [], 0, 0
     while n - s > max_size:
         best = int(row[s + least])
         e = best & ((1 << _SHIFT) - 1)
-        if e <= last or best >> _SHIFT == 0:
+        level = best >> _SHIFT  # one more than the strength
+        first = max(s + overlap, last) + 1
+        if (e <= last or level <= NONE + 1) and (part := strength[first : s + max_size + 1]).size and part.max() > NONE:
+            # no boundary in the window: the strongest of the whole piece rather than a cut inside a word
+            e = first + len(part) - 1 - int(part[::-1].argmax())
+        elif e <= last or level == 0:
             # the start was moved back, or nothing is permitted in the window: the rightmost permitted cut beyond the last one
             free = np.flatnonzero(strength[last + 1 : s + max_size + 1] >= 0)
             if not len(free) and last > s:
