@@ -3,12 +3,13 @@
 ``node_rows`` parses every record into a VARIANT, infers how deep the merged tree of all records goes,
 and explodes one nesting level after the other in a single narrow chain (no shuffle): each object becomes
 a row with its own surrogate key, its parent's key and its ordinal in the array it stood in.
-``merged_schema`` and ``flat_table`` turn those rows into one table per structural path.
+``merged_schema`` and ``flat_table`` turn those rows into one table per structural path; ``child_table`` joins the
+paths that differ only in spelling or in whether a list stands around the object.
 
 Defined results
   null, blank, malformed or non-object records, and records with text after the closing brace: no rows;
   a JSON string whose content is a JSON object counts as that object (one level of wrapping);
-  empty objects count; empty arrays and scalars give no rows of their own;
+  empty objects count; empty arrays and scalars give no rows of their own (``values`` adds the scalars);
   repeated input rows give repeated node rows (the caller's key tells them apart);
   an object that repeats a key is rejected as malformed.
 """
@@ -77,8 +78,14 @@ def _join_path(prefix: Column, part: Column) -> Column:
     return F.when(prefix == "", part).otherwise(F.concat(prefix, F.lit("/"), part))
 
 
-def _expanded(node: Column) -> Column:
-    """The node itself (closed, if it is an object) and its containers one level down."""
+def _as_item(x: Column) -> Column:
+    """A scalar of a list as an object with the one attribute "value"; null for containers and JSON null."""
+    scalar = F.try_variant_get(x, "$", _MAP).isNull() & F.try_variant_get(x, "$", _LIST).isNull() & F.try_variant_get(x, "$", "string").isNotNull()
+    return F.when(scalar, F.create_map(F.lit("value"), x))
+
+
+def _expanded(node: Column, values: bool = False) -> Column:
+    """The node itself (closed, if it is an object) and its containers (and list scalars) one level down."""
     self_row = F.transform(
         F.when(node["m"].isNotNull(), F.array(node)).otherwise(F.slice(F.array(node), 1, 0)),
         lambda n: n.withField("open", F.lit(False)),
@@ -95,10 +102,10 @@ def _expanded(node: Column) -> Column:
             F.lit(True),
         ),
     )
+
     # objects in an array hang on the nearest object around it, which the array carries as its own parent
-    of_list = F.transform(
-        node["a"],
-        lambda x, i: _node(
+    def item(x: Column, i: Column) -> Column:
+        found = _node(
             _join_path(node["path"], i.cast("string")),
             F.concat(node["shape"], F.lit("[]")),
             node["parent"],
@@ -106,17 +113,21 @@ def _expanded(node: Column) -> Column:
             i,
             x,
             F.lit(True),
-        ),
-    )
+        )
+        return found.withField("m", F.coalesce(found["m"], _as_item(x))) if values else found
+
+    of_list = F.transform(node["a"], item)
     kids = F.filter(
         F.coalesce(of_map, of_list), lambda n: n["m"].isNotNull() | n["a"].isNotNull()
     )
     return F.when(node["open"], F.concat(self_row, kids)).otherwise(F.array(node))
 
 
-def node_rows(df: DataFrame, key: str, json_col: str, depth: int | None = None) -> DataFrame:
+def node_rows(df: DataFrame, key: str, json_col: str, depth: int | None = None, values: bool = False) -> DataFrame:
     """One row per object below the outermost of each record of ``df``.
 
+    With ``values`` also the outermost objects (node_path "", no parent) and each scalar of a list (attribute "value").
+
     Columns: ``key``, node_path, parent_path, node_id, parent_id, shape (the path with array positions as "[]"),
     ordinal (position in the array directly around, else null), attributes (map of the object's scalar members).
     ``depth`` bounds the levels to explode; by default it is measured over all records.
@@ -137,19 +148,20 @@ def node_rows(df: DataFrame, key: str, json_col: str, depth: int | None = None)
     )
     rows = src.select("_key", parsed_object(F.col("_json")).alias("_m")).where("_m is not null").select("_key", root.alias("n"))
     for _ in range(max(levels, 1)):
-        rows = rows.select("_key", F.explode(_expanded(F.col("n"))).alias("n"))
+        rows = rows.select("_key", F.explode(_expanded(F.col("n"), values)).alias("n"))
     n = F.col("n")
     scalars = F.map_filter(
         F.transform_values(n["m"], lambda _, v: F.when(F.try_variant_get(v, "$", _MAP).isNull() & F.try_variant_get(v, "$", _LIST).isNull(), F.try_variant_get(v, "$", "string"))),
         lambda _, v: v.isNotNull(),
     )
     ident = lambda path: F.xxhash64(F.col("_key"), path)
-    return rows.where("n.below and n.m is not null").select(
+    parent = F.when(n["below"], n["parent"]) if values else n["parent"]
+    return rows.where("n.m is not null" if values else "n.below and n.m is not null").select(
         F.col("_key").alias(key),
         n["path"].alias("node_path"),
-        n["parent"].alias("parent_path"),
+        parent.alias("parent_path"),
         ident(n["path"]).alias("node_id"),
-        ident(n["parent"]).alias("parent_id"),
+        (F.when(n["below"], ident(n["parent"])) if values else ident(n["parent"])).alias("parent_id"),
         n["shape"].alias("shape"),
         n["ordinal"].alias("ordinal"),
         scalars.alias("attributes"),
@@ -174,6 +186,36 @@ def flat_table(nodes: DataFrame, shapes: list[str], columns: list[str], key: str
     return nodes.where(F.col("shape").isin(shapes)).select(key, "node_id", "parent_id", "node_path", "parent_path", "ordinal", *named)
 
 
+def table_of(shape: Column) -> Column:
+    """The child table of a structural path: small letters, "_" as a blank, no list marks, numbered keys as "#"."""
+    bare = F.regexp_replace(F.lower(shape), r"(\[\])+(?=/|$)", "")
+    return F.regexp_replace(F.translate(bare, "_", " "), r"(?<=/)[0-9]+(?=/|$)", "#")
+
+
+def child_table(nodes: DataFrame, name: str, key: str) -> DataFrame:
+    """The objects of every structural path that ``table_of`` calls ``name``, with the columns their merged schema has.
+
+    Attributes that differ only in case or in blank, "_" and "." share a column; an object that has several
+    spellings with different values keeps them all, joined by "; ". The schema of the table goes to the driver; its
+    size is checked.
+    """
+    some = nodes.where(table_of(F.col("shape")) == name)
+    found = merged_schema(some).select("attribute").where("attribute is not null").distinct().limit(MAX_ATTRIBUTES + 1).collect()
+    if len(found) > MAX_ATTRIBUTES:
+        raise ValueError(f"over {MAX_ATTRIBUTES} attributes in {name!r}")
+    fixed = [key, "node_id", "parent_id", "node_path", "parent_path", "ordinal"]
+    spellings: dict[str, list[str]] = {}
+    for attribute in sorted(row["attribute"] for row in found):
+        column = attribute.lower().replace(" ", "_").replace(".", "_")
+        spellings.setdefault(f"attribute_{column}" if column in fixed else column, []).append(attribute)
+    columns = []
+    for column, names in sorted(spellings.items()):
+        values = [F.col("attributes")[n] for n in names]
+        held = F.array_distinct(F.array_compact(F.array(*values)))
+        columns.append((values[0] if len(values) == 1 else F.when(F.size(held) > 0, F.array_join(held, "; "))).alias(column))
+    return some.select(*fixed, *columns)
+
+
 def flat_tables(nodes: DataFrame, key: str) -> dict[str, DataFrame]:
     """Every child table with its inferred columns. The merged schema goes to the driver; its size is checked."""
     found = merged_schema(nodes).limit(MAX_ATTRIBUTES + 1).collect()

@@ -26,20 +26,26 @@ def p5_schema(spark: SparkSession, d: str) -> DataFrame:
     return nested.merged_schema(_nodes(spark, d))
 
 
+def p5_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of every table the merged tree has: notes (""), sections, objects of all levels and scalars of lists."""
+    notes = spread(table(spark, d, "augmented_notes_30k").select("line_no", "summary"))
+    rows = nested.node_rows(notes, "line_no", "summary", values=True)
+    return rows.withColumn("table_name", nested.table_of(F.col("shape"))).withColumn("attributes", F.to_json("attributes"))
+
+
 def p5_symptoms(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_table(_nodes(spark, d), ["symptoms", "symptoms[]"], ["name of symptom", "intensity of symptom", "time"], "line_no")
+    return nested.child_table(_nodes(spark, d), "symptoms", "line_no")
 
 
 def p5_treatments(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat_table(_nodes(spark, d), ["treatments", "treatments[]"], ["name", "related condition", "dosage", "time"], "line_no")
+    return nested.child_table(_nodes(spark, d), "treatments", "line_no")
 
 
 def p5_doses(spark: SparkSession, d: str) -> DataFrame:
-    shapes = ["treatments/doses", "treatments/doses[]", "treatments[]/doses", "treatments[]/doses[]"]
-    return nested.flat_table(_nodes(spark, d), shapes, ["amount", "unit"], "line_no")
+    return nested.child_table(_nodes(spark, d), "treatments/doses", "line_no")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_nodes, p5_schema, p5_symptoms, p5_treatments, p5_doses)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_nodes, p5_schema, p5_tables, p5_symptoms, p5_treatments, p5_doses)}
 # DuckDB takes commas before closers for valid; they are ruled out by pattern
 _TREE = r"""
 WITH RECURSIVE one AS (
