@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,3 +104,56 @@ def sparse_topn(corpus: DataFrame, key: str, text: str, queries: DataFrame, quer
     """Top ``n`` texts sharing a term with each query. Ties: the smaller key."""
     scored = sparse_scores(corpus, key, text, query_terms(queries, query_key, query_text))
     return top_per_query(scored, n, [F.desc("score"), F.col(key)])
+
+
+def sparse_topn_blocks(corpus: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, n: int) -> DataFrame:
+    """``sparse_topn`` for many long queries: each partition passes on its n best texts of a query, not all pairs.
+
+    The terms of a block of QUERY_BLOCK queries go to the tasks; a text adds each of its words' weights to the
+    queries that hold the word. Keys are integers without nulls.
+    """
+    spark = corpus.sparkSession
+    kind, qkind = corpus.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+    terms = query_terms(queries, query_key, query_text)
+    blocks = -(-queries.select(query_key).distinct().count() // QUERY_BLOCK) or 1
+    words = corpus.select(F.col(key).alias("k"), tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
+    found = None
+    for i in range(blocks):
+        rows = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        names = sorted({r["query_id"] for r in rows})
+        place = {name: j for j, name in enumerate(names)}
+        held: dict[str, list[tuple[int, int]]] = {}
+        for r in rows:
+            held.setdefault(r["term"], []).append((place[r["query_id"]], r["qtf"]))
+        weights = {t: (np.array([j for j, _ in x]), np.array([c for _, c in x], dtype=np.float64)) for t, x in held.items()}
+        sent = spark.sparkContext.broadcast((names, weights))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            names, weights = sent.value
+            best = None
+            for batch in batches:
+                for at in range(0, len(batch), SPARSE_ROWS):
+                    part = batch.iloc[at : at + SPARSE_ROWS]
+                    dots = np.zeros((len(part), len(names)))
+                    for row, words in zip(dots, part["w"]):
+                        for term, tf in Counter(words).items():
+                            if (hit := weights.get(term)) is not None:
+                                row[hit[0]] += tf * hit[1]
+                    lens = part["w"].map(len).to_numpy(dtype=np.int64)
+                    new = (np.broadcast_to(part["k"].to_numpy()[None], dots.T.shape), dots.T, np.broadcast_to(lens[None], dots.T.shape))
+                    best = new if best is None else tuple(np.concatenate(pair, axis=1) for pair in zip(best, new))
+                    scores = np.floor(best[1] / np.sqrt(best[2]) * 1e6 + 0.5)
+                    order = np.lexsort((best[0], -scores))[:, :n]
+                    best = tuple(np.take_along_axis(x, order, 1) for x in best)
+            if best is not None and names:
+                keep = best[1].ravel() > 0
+                columns = (np.repeat(np.array(names), best[0].shape[1]), *(x.ravel() for x in best))
+                yield pd.DataFrame({c: x[keep] for c, x in zip(("query_id", key, "dot", "len"), columns)}).astype({"dot": "int64"})
+
+        part = words.mapInPandas(run, f"query_id {qkind}, `{key}` {kind}, dot long, len long")
+        found = part if found is None else found.unionByName(part)
+    scored = found.select("query_id", key, F.round(F.col("dot") / F.sqrt("len"), 6).alias("score"))
+    return top_per_query(scored, n, [F.desc("score"), F.col(key)])
+
+
+SPARSE_ROWS = 1000

@@ -13,4 +13,4 @@ ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items(
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval_queries.hybrid_search(spark, folder)
+    return retrieval_queries.hybrid_search_full(spark, folder)

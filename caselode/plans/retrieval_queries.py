@@ -155,6 +155,18 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return top.join(both.select("doc_id", F.substring("text", 1, 300).alias("snippet")), "doc_id", "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
 
 
+def hybrid_search_full(spark: SparkSession, d: str) -> DataFrame:
+    """As hybrid_search, over every document and every vector: a text found by one branch alone counts 0 in the other."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    queries = docs.where(F.col("doc_id") % EVERY == 0)
+    dense = retrieve.dense_topn(vectors, vectors.join(queries.select("doc_id"), "doc_id", "left_semi"), 100, "doc_id")
+    sparse = retrieve.sparse_topn_blocks(docs, "doc_id", "text", queries, "doc_id", "text", 100)
+    top = fusion.weighted(dense, sparse, "doc_id").where("rank <= 10").select("query_id", "doc_id", "score", "rank")
+    snippets = docs.select("doc_id", F.substring("text", 1, 300).alias("snippet"))
+    return top.join(snippets, "doc_id", "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
+
+
 HYBRID = f"""
 WITH c AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
 ds AS (SELECT q.doc_id AS query_id, e.doc_id,
@@ -323,7 +335,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dense_topk, dense_knn_batch, dense_ann, facet_scores, sparse_topk, filter_conjunctive, minmax_norm, fusion_weighted, fusion_rrf, fusion_overlap,
-        saved_search_changes, hybrid_search, rerank_blend, rerank_depth_blend, rerank_failsoft, confidence_labels, cohort_outcomes,
+        saved_search_changes, hybrid_search, hybrid_search_full, rerank_blend, rerank_depth_blend, rerank_failsoft, confidence_labels, cohort_outcomes,
         metrics_by_mode, alpha_sweep, depth_beta_sweep, pool_ceiling,
     )
 }
