@@ -242,7 +242,7 @@ def cohort_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(total, "query_id").select("query_id", "outcome", "cases", F.round(F.col("cases") / F.col("total"), 4).alias("share"))
 
 
-def _modes(spark: SparkSession, d: str) -> DataFrame:
+def _modes(spark: SparkSession, d: str, full: bool = False) -> DataFrame:
     doc, note = (cut_lineage(x) for x in _lists(spark, d))
     lists = {
         "document": doc,
@@ -251,6 +251,8 @@ def _modes(spark: SparkSession, d: str) -> DataFrame:
         "weighted": fusion.weighted(doc, note, "case_id"),
         "rerank": fusion.rerank_blend(fusion.weighted(doc, note, "case_id").where("rank <= 100"), _logits(spark, d), "case_id").withColumn("rank", F.col("new_rank")),
     }
+    if full:
+        lists["rrf_50"] = fusion.reciprocal_ranks(doc.where("rank <= 50"), note.where("rank <= 50"), "case_id")
     out = None
     for mode, ranked in lists.items():
         part = ranked.select(F.lit(mode).alias("mode"), "query_id", "case_id", "rank")
@@ -263,6 +265,11 @@ def metrics_by_mode(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.metrics(hits, ("mode",))
 
 
+def metrics_by_mode_full(spark: SparkSession, d: str) -> DataFrame:
+    """All modes of the ablation: also reciprocal ranks of lists cut to 50."""
+    return evaluate.metrics(evaluate.hit_ranks(_gold(spark, d), _modes(spark, d, full=True), "case_id", by=("mode",)), ("mode",))
+
+
 def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
     doc, note = (cut_lineage(x) for x in _lists(spark, d))
     alphas = F.broadcast(spark.createDataFrame([(x,) for x in (0.3, 0.4, 0.5, 0.6, 0.7)], "alpha double"))  # five settings
@@ -271,16 +278,25 @@ def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.best_setting(table_, "ndcg_10", ["alpha"])
 
 
-def depth_beta_sweep(spark: SparkSession, d: str) -> DataFrame:
+def _depth_beta(spark: SparkSession, d: str, depths: tuple[int, ...]) -> DataFrame:
     pool = cut_lineage(_pool(spark, d))
-    grid = spark.createDataFrame([(depth, beta) for depth in (10, 15, 20, 30, 50) for beta in (0.6, 0.7, 0.8, 0.9, 1.0)], "depth int, beta double")
-    cells = pool.crossJoin(F.broadcast(grid))  # 25 cells
+    grid = spark.createDataFrame([(depth, beta) for depth in depths for beta in (0.6, 0.7, 0.8, 0.9, 1.0)], "depth int, beta double")
+    cells = pool.crossJoin(F.broadcast(grid))  # 25 or 30 cells
     by = ("depth", "beta", "query_id")
     ranked = fusion.rerank_blend(cells, _logits(spark, d), "case_id", "beta", "depth", by).withColumn("rank", F.col("new_rank"))
     hits = evaluate.hit_ranks(_gold(spark, d), ranked, "case_id", by=("depth", "beta"))
     return evaluate.best_setting(evaluate.metrics(hits, ("depth", "beta")), "ndcg_10", ["depth", "beta"])
 
 
+def depth_beta_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return _depth_beta(spark, d, (10, 15, 20, 30, 50))
+
+
+def depth_beta_sweep_full(spark: SparkSession, d: str) -> DataFrame:
+    """The whole grid: also depth 100, all of the pool."""
+    return _depth_beta(spark, d, (10, 15, 20, 30, 50, 100))
+
+
 def pool_ceiling(spark: SparkSession, d: str) -> DataFrame:
     gold = _gold(spark, d).select("query_id", F.explode("relevant").alias("case_id"))
     hit = gold.join(_pool(spark, d), ["query_id", "case_id"], "left_semi").select("query_id").distinct()
@@ -336,7 +352,7 @@ QUERIES = {
     for f in (
         dense_topk, dense_knn_batch, dense_ann, facet_scores, sparse_topk, filter_conjunctive, minmax_norm, fusion_weighted, fusion_rrf, fusion_overlap,
         saved_search_changes, hybrid_search, hybrid_search_full, rerank_blend, rerank_depth_blend, rerank_failsoft, confidence_labels, cohort_outcomes,
-        metrics_by_mode, alpha_sweep, depth_beta_sweep, pool_ceiling,
+        metrics_by_mode, metrics_by_mode_full, alpha_sweep, depth_beta_sweep, depth_beta_sweep_full, pool_ceiling,
     )
 }
 ORACLE = {

@@ -47,3 +47,15 @@ def test_hybrid_over_all_documents(spark):
     assert {r["query_id"] for r in got} == answerable
     assert {r["doc_id"] for r in got} - vectors
     assert all(r["snippet"] == (docs.get(r["doc_id"]) or "")[:300] for r in got)
+
+
+@NEEDS_DATA
+def test_whole_grid_and_all_modes(spark):
+    queries = entry.queries()
+    part, whole = ({(r["depth"], r["beta"]): r.asDict() for r in queries[n](spark, SF).collect()} for n in ("depth_beta_sweep", "depth_beta_sweep_full"))
+    assert set(whole) - set(part) == {(100, b) for b in (0.6, 0.7, 0.8, 0.9, 1.0)}
+    assert all({**whole[c], "best": 0} == {**row, "best": 0} for c, row in part.items())
+    best = min(whole, key=lambda c: (-whole[c]["ndcg_10"], c))
+    assert [c for c, row in whole.items() if row["best"]] == [best]
+    part, whole = ({r["mode"]: r for r in queries[n](spark, SF).collect()} for n in ("metrics_by_mode", "metrics_by_mode_full"))
+    assert set(whole) == set(part) | {"rrf_50"} and all(whole[m] == part[m] for m in part)
