@@ -1,25 +1,32 @@
 """Deeply nested JSON records to related flat tables (problem 5).
 
-``node_rows`` parses every record into a VARIANT, infers how deep the merged tree of all records goes,
-and explodes one nesting level after the other in a single narrow chain (no shuffle): each object becomes
-a row with its own surrogate key, its parent's key and its ordinal in the array it stood in.
-``merged_schema`` and ``flat_table`` turn those rows into one table per structural path; ``child_table`` joins the
-paths that differ only in spelling or in whether a list stands around the object.
+``merged_schema`` is inferred first: one pass over all records finds every structural path (array positions written
+"[]"), what stands there (object, list item) and each attribute with its type and count. The schema is small, is
+checkpointed, and tells how many levels the records have. ``node_rows`` then explodes one level after the other in a
+single narrow chain (no shuffle): an object, and a scalar in a list, becomes a row of the child table of its path,
+with its own key, the key of the nearest object around it and its ordinal in the array. ``child_table`` gives the
+rows of one table with the columns the merged schema has for it, ``flat_tables`` those of all.
+
+Nothing is lost: the outermost object is the row of the table "" (its parent is null), scalars of lists are rows
+with the attribute "value", a JSON null is an attribute without a value, an empty list is the value "[]".
 
 Defined results
   null, blank, malformed or non-object records, and records with text after the closing brace: no rows;
   a JSON string whose content is a JSON object counts as that object (one level of wrapping);
-  empty objects count; empty arrays and scalars give no rows of their own (``values`` adds the scalars);
-  repeated input rows give repeated node rows (the caller's key tells them apart);
-  an object that repeats a key is rejected as malformed.
+  empty objects count; of a key an object repeats the last value counts; more than 1,000 levels are no record;
+  a null record key is kept, and its ids are those of the empty key; repeated input rows give repeated rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from caselode.session import cut_lineage
+
 _MAP, _LIST = "map<string,variant>", "array<variant>"
 MAX_ATTRIBUTES = 5000
+LEVELS_PER_STEP = 10
+_REPEATS = "spark.sql.variant.allowDuplicateKeys"
 
 
 def _strict(text: Column) -> Column:
@@ -37,191 +44,167 @@ def parsed_object(text: Column) -> Column:
     return F.coalesce(direct, inner)
 
 
-def _depth(text: Column) -> Column:
-    """Nesting depth of a JSON text: strings are removed, then brackets are counted up and down."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*+"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), "")
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+def _holds_rows(v: Column) -> Column:
+    """Is it an object or a list with items (and so rows of its own), not an attribute?"""
+    return F.try_variant_get(v, "$", _MAP).isNotNull() | (F.coalesce(F.size(F.try_variant_get(v, "$", _LIST)), F.lit(0)) > 0)
 
-    def step(acc: Column, mark: Column) -> Column:
-        now = acc["now"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    return F.aggregate(marks, zero, step, lambda acc: acc["most"])
+def _text(v: Column) -> Column:
+    """An attribute's value as text, numbers without zeros that end a fraction: null for JSON null, "[]" for an empty list."""
+    raw = F.to_json(v)
+    return F.when(raw.startswith('"'), F.try_variant_get(v, "$", "string")).when(raw != "null", raw)
 
 
-def tree_depth(df: DataFrame, json_col: str) -> int:
-    """Deepest nesting over all objects: one number to the driver."""
-    text = F.when(
-        F.ltrim(F.col(json_col)).startswith('"'),
-        F.try_variant_get(_strict(F.col(json_col)), "$", "string"),
-    ).otherwise(F.col(json_col))
-    found = df.where(F.col(json_col).isNotNull()).select(F.max(_depth(text)).alias("d")).first()["d"]
-    return int(found or 0)
+def _node(path: str, shape: str, parent: str, ordinal: str, value: str) -> str:
+    return f"""named_struct('path', {path}, 'shape', {shape}, 'parent', {parent}, 'ordinal', CAST({ordinal} AS INT), 'level', n.level + 1, 'v', {value},
+        'm', try_variant_get({value}, '$', '{_MAP}'), 'a', try_variant_get({value}, '$', '{_LIST}'), 'open', true)"""
 
 
-def _node(path: Column, shape: Column, parent: Column, key: Column, ordinal: Column, value: Column, below: Column) -> Column:
-    return F.struct(
-        path.alias("path"),
-        shape.alias("shape"),
-        parent.alias("parent"),
-        key.alias("key"),
-        ordinal.cast("int").alias("ordinal"),
-        F.try_variant_get(value, "$", _MAP).alias("m"),
-        F.try_variant_get(value, "$", _LIST).alias("a"),
-        F.lit(True).alias("open"),
-        below.alias("below"),
-    )
+def _under(prefix: str, part: str) -> str:
+    return f"if({prefix} = '', {part}, concat({prefix}, '/', {part}))"
 
 
-def _join_path(prefix: Column, part: Column) -> Column:
-    return F.when(prefix == "", part).otherwise(F.concat(prefix, F.lit("/"), part))
+#: The node itself, closed (a list with items is no row), and what it holds one level down. What stands in an array
+#: hangs on the nearest object around it, which the array carries as its own parent.
+_EXPANDED = f"""explode(CASE WHEN n.open THEN concat(
+    transform(filter(array(n), x -> coalesce(size(x.a), 0) <= 0), x -> named_struct('path', x.path, 'shape', x.shape, 'parent', x.parent,
+        'ordinal', x.ordinal, 'level', x.level, 'v', x.v, 'm', x.m, 'a', x.a, 'open', false)),
+    coalesce(
+        transform(filter(map_entries(n.m), e -> try_variant_get(e.value, '$', '{_MAP}') IS NOT NULL OR coalesce(size(try_variant_get(e.value, '$', '{_LIST}')), 0) > 0),
+            e -> {_node(_under("n.path", "e.key"), _under("n.shape", "e.key"), "n.path", "NULL", "e.value")}),
+        transform(n.a, (x, i) -> {_node(_under("n.path", "CAST(i AS STRING)"), "concat(n.shape, '[]')", "n.parent", "i", "x")}),
+        filter(array(n), x -> false)))
+  ELSE array(n) END) AS n"""
 
 
-def _as_item(x: Column) -> Column:
-    """A scalar of a list as an object with the one attribute "value"; null for containers and JSON null."""
-    scalar = F.try_variant_get(x, "$", _MAP).isNull() & F.try_variant_get(x, "$", _LIST).isNull() & F.try_variant_get(x, "$", "string").isNotNull()
-    return F.when(scalar, F.create_map(F.lit("value"), x))
-
-
-def _expanded(node: Column, values: bool = False) -> Column:
-    """The node itself (closed, if it is an object) and its containers (and list scalars) one level down."""
-    self_row = F.transform(
-        F.when(node["m"].isNotNull(), F.array(node)).otherwise(F.slice(F.array(node), 1, 0)),
-        lambda n: n.withField("open", F.lit(False)),
-    )
-    of_map = F.transform(
-        F.map_entries(node["m"]),
-        lambda e: _node(
-            _join_path(node["path"], e["key"]),
-            _join_path(node["shape"], e["key"]),
-            node["path"],
-            e["key"],
-            F.lit(None),
-            e["value"],
-            F.lit(True),
-        ),
+def _roots(df: DataFrame, key: str, json_col: str) -> DataFrame:
+    spark = df.sparkSession
+    if spark.conf.get(_REPEATS, "false") != "true":
+        spark.conf.set(_REPEATS, "true")
+    none = F.lit(None)
+    root = F.struct(
+        F.lit("").alias("path"),
+        F.lit("").alias("shape"),
+        none.cast("string").alias("parent"),
+        none.cast("int").alias("ordinal"),
+        F.lit(0).alias("level"),
+        none.cast("variant").alias("v"),
+        F.col("_m").alias("m"),
+        none.cast(_LIST).alias("a"),
+        F.lit(True).alias("open"),
     )
+    src = df.select(F.col(key).alias("_key"), parsed_object(F.col(json_col)).alias("_m"))
+    return src.where("_m is not null").select("_key", root.alias("n"))
 
-    # objects in an array hang on the nearest object around it, which the array carries as its own parent
-    def item(x: Column, i: Column) -> Column:
-        found = _node(
-            _join_path(node["path"], i.cast("string")),
-            F.concat(node["shape"], F.lit("[]")),
-            node["parent"],
-            node["key"],
-            i,
-            x,
-            F.lit(True),
-        )
-        return found.withField("m", F.coalesce(found["m"], _as_item(x))) if values else found
-
-    of_list = F.transform(node["a"], item)
-    kids = F.filter(
-        F.coalesce(of_map, of_list), lambda n: n["m"].isNotNull() | n["a"].isNotNull()
-    )
-    return F.when(node["open"], F.concat(self_row, kids)).otherwise(F.array(node))
 
+def _descend(rows: DataFrame, levels: int) -> DataFrame:
+    for _ in range(levels):
+        rows = rows.selectExpr("_key", _EXPANDED)
+    return rows
 
-def node_rows(df: DataFrame, key: str, json_col: str, depth: int | None = None, values: bool = False) -> DataFrame:
-    """One row per object below the outermost of each record of ``df``.
 
-    With ``values`` also the outermost objects (node_path "", no parent) and each scalar of a list (attribute "value").
+def merged_schema(df: DataFrame, key: str, json_col: str) -> DataFrame:
+    """The schema all records share, as a checkpointed table (shape, level, kind, attribute, type, n).
 
-    Columns: ``key``, node_path, parent_path, node_id, parent_id, shape (the path with array positions as "[]"),
-    ordinal (position in the array directly around, else null), attributes (map of the object's scalar members).
-    ``depth`` bounds the levels to explode; by default it is measured over all records.
+    Per structural path and kind ("object" or "item"): how many there are (attribute null), and per attribute and
+    JSON type how many carry it. Steps of LEVELS_PER_STEP levels; a further step reads only what goes deeper.
     """
-    src = df.select(F.col(key).alias("_key"), F.col(json_col).alias("_json"))
-    levels = tree_depth(src, "_json") if depth is None else depth
-    empty = F.lit("")
-    root = F.struct(
-        empty.alias("path"),
-        empty.alias("shape"),
-        empty.alias("parent"),
-        empty.alias("key"),
-        F.lit(None).cast("int").alias("ordinal"),
-        F.col("_m").alias("m"),
-        F.lit(None).cast(_LIST).alias("a"),
-        F.lit(True).alias("open"),
-        F.lit(False).alias("below"),
-    )
-    rows = src.select("_key", parsed_object(F.col("_json")).alias("_m")).where("_m is not null").select("_key", root.alias("n"))
-    for _ in range(max(levels, 1)):
-        rows = rows.select("_key", F.explode(_expanded(F.col("n"), values)).alias("n"))
+    rows, found = _roots(df, key, json_col), None
+    while rows is not None:
+        rows = _descend(rows, LEVELS_PER_STEP)
+        n = F.col("n")
+        kind = F.when(n["open"], "open").when(n["m"].isNotNull(), "object").otherwise("item")
+        told = F.transform(
+            F.map_entries(F.map_filter(n["m"], lambda _, v: ~_holds_rows(v))),
+            lambda e: F.struct(e["key"].alias("attribute"), F.schema_of_variant(e["value"]).alias("type")),
+        )
+        nothing = F.struct(F.lit(None).cast("string").alias("attribute"), F.lit(None).cast("string").alias("type"))
+        own = F.struct(F.lit("value").alias("attribute"), F.schema_of_variant(n["v"]).alias("type"))
+        facts = F.concat(F.array(nothing), F.when(n["m"].isNotNull(), told).otherwise(F.array(own)))
+        part = rows.select(n["shape"].alias("shape"), n["level"].alias("level"), kind.alias("kind"), F.explode(facts).alias("f"))
+        part = cut_lineage(part.groupBy("shape", "level", "kind", "f.attribute", "f.type").agg(F.count("*").alias("n")))
+        found = part if found is None else found.unionByName(part)
+        deeper = part.where("kind = 'open'").limit(1).count() > 0
+        rows = cut_lineage(rows.where("n.open")) if deeper else None
+    return found.where("kind <> 'open'")
+
+
+def node_rows(df: DataFrame, key: str, json_col: str, schema: DataFrame | None = None) -> DataFrame:
+    """One row per object, the outermost included, and per scalar of a list, of each record of ``df``.
+
+    Columns: ``key``, node_path, parent_path, node_id, parent_id (128-bit digests of record key and path, as hex),
+    shape, level, ordinal (position in the array directly around, else null), kind ("object" or "item") and
+    attributes (map of scalar members as text). The levels to explode come from the merged schema.
+    """
+    schema = merged_schema(df, key, json_col) if schema is None else schema
+    levels = (schema.agg(F.max("level")).first()[0] or 0) + 1
+    rows, found = _roots(df, key, json_col), None
+    while levels:
+        step = min(levels, LEVELS_PER_STEP)
+        levels -= step
+        rows = _descend(rows, step)
+        part = rows.where("not n.open") if levels else rows
+        found = part if found is None else found.unionByName(part)
+        rows = cut_lineage(rows.where("n.open")) if levels else rows
     n = F.col("n")
-    scalars = F.map_filter(
-        F.transform_values(n["m"], lambda _, v: F.when(F.try_variant_get(v, "$", _MAP).isNull() & F.try_variant_get(v, "$", _LIST).isNull(), F.try_variant_get(v, "$", "string"))),
-        lambda _, v: v.isNotNull(),
+    attributes = F.when(n["m"].isNull(), F.create_map(F.lit("value"), _text(n["v"]))).otherwise(
+        F.transform_values(F.map_filter(n["m"], lambda _, v: ~_holds_rows(v)), lambda _, v: _text(v))
     )
-    ident = lambda path: F.xxhash64(F.col("_key"), path)
-    parent = F.when(n["below"], n["parent"]) if values else n["parent"]
-    return rows.where("n.m is not null" if values else "n.below and n.m is not null").select(
+    record = F.coalesce(F.col("_key").cast("string"), F.lit(""))
+    ident = lambda path: F.md5(F.concat_ws(":", F.length(record), record, path))
+    return found.select(
         F.col("_key").alias(key),
         n["path"].alias("node_path"),
-        parent.alias("parent_path"),
+        n["parent"].alias("parent_path"),
         ident(n["path"]).alias("node_id"),
-        (F.when(n["below"], ident(n["parent"])) if values else ident(n["parent"])).alias("parent_id"),
+        F.when(n["parent"].isNotNull(), ident(n["parent"])).alias("parent_id"),
         n["shape"].alias("shape"),
+        n["level"].alias("level"),
         n["ordinal"].alias("ordinal"),
-        scalars.alias("attributes"),
-    )
-
-
-def merged_schema(nodes: DataFrame) -> DataFrame:
-    """The schema all records share: per structural path and attribute, how many objects carry it."""
-    return (
-        nodes.select("shape", F.explode_outer(F.map_keys("attributes")).alias("attribute"))
-        .groupBy("shape", "attribute")
-        .agg(F.count("*").alias("objects"))
+        F.when(n["m"].isNull(), "item").otherwise("object").alias("kind"),
+        attributes.alias("attributes"),
     )
 
 
-def flat_table(nodes: DataFrame, shapes: list[str], columns: list[str], key: str) -> DataFrame:
-    """The child table of the given structural paths with the given attributes as columns.
-
-    An attribute an object lacks is null; its column name has its blanks and dots written as "_".
-    """
-    named = [F.col("attributes")[c].alias(c.replace(" ", "_").replace(".", "_")) for c in columns]
-    return nodes.where(F.col("shape").isin(shapes)).select(key, "node_id", "parent_id", "node_path", "parent_path", "ordinal", *named)
-
-
 def table_of(shape: Column) -> Column:
     """The child table of a structural path: small letters, "_" as a blank, no list marks, numbered keys as "#"."""
     bare = F.regexp_replace(F.lower(shape), r"(\[\])+(?=/|$)", "")
     return F.regexp_replace(F.translate(bare, "_", " "), r"(?<=/)[0-9]+(?=/|$)", "#")
 
 
-def child_table(nodes: DataFrame, name: str, key: str) -> DataFrame:
-    """The objects of every structural path that ``table_of`` calls ``name``, with the columns their merged schema has.
+def schema_tables(schema: DataFrame) -> dict[str, list[str]]:
+    """The child tables of a merged schema with their attributes. They go to the driver; their number is checked."""
+    told = schema.select(table_of(F.col("shape")).alias("name"), "attribute").distinct().limit(MAX_ATTRIBUTES + 1).collect()
+    if len(told) > MAX_ATTRIBUTES:
+        raise ValueError(f"over {MAX_ATTRIBUTES} attributes in the merged schema")
+    found: dict[str, list[str]] = {}
+    for row in told:
+        found.setdefault(row["name"], []).extend([row["attribute"]] if row["attribute"] is not None else [])
+    return {name: sorted(attributes) for name, attributes in sorted(found.items())}
+
+
+def child_table(nodes: DataFrame, schema: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows of every structural path that ``table_of`` calls ``name``, with the columns the merged schema has for it.
 
     Attributes that differ only in case or in blank, "_" and "." share a column; an object that has several
-    spellings with different values keeps them all, joined by "; ". The schema of the table goes to the driver; its
-    size is checked.
+    spellings with different values keeps them all, joined by "; ". A name no record has gives an empty table.
     """
     some = nodes.where(table_of(F.col("shape")) == name)
-    found = merged_schema(some).select("attribute").where("attribute is not null").distinct().limit(MAX_ATTRIBUTES + 1).collect()
-    if len(found) > MAX_ATTRIBUTES:
-        raise ValueError(f"over {MAX_ATTRIBUTES} attributes in {name!r}")
     fixed = [key, "node_id", "parent_id", "node_path", "parent_path", "ordinal"]
     spellings: dict[str, list[str]] = {}
-    for attribute in sorted(row["attribute"] for row in found):
+    for attribute in schema_tables(schema.where(table_of(F.col("shape")) == name)).get(name, []):
         column = attribute.lower().replace(" ", "_").replace(".", "_")
         spellings.setdefault(f"attribute_{column}" if column in fixed else column, []).append(attribute)
     columns = []
     for column, names in sorted(spellings.items()):
-        values = [F.col("attributes")[n] for n in names]
+        values = [F.try_element_at("attributes", F.lit(n)) for n in names]
         held = F.array_distinct(F.array_compact(F.array(*values)))
         columns.append((values[0] if len(values) == 1 else F.when(F.size(held) > 0, F.array_join(held, "; "))).alias(column))
     return some.select(*fixed, *columns)
 
 
-def flat_tables(nodes: DataFrame, key: str) -> dict[str, DataFrame]:
-    """Every child table with its inferred columns. The merged schema goes to the driver; its size is checked."""
-    found = merged_schema(nodes).limit(MAX_ATTRIBUTES + 1).collect()
-    if len(found) > MAX_ATTRIBUTES:
-        raise ValueError(f"over {MAX_ATTRIBUTES} attributes: name the tables and columns wanted with flat_table")
-    columns: dict[str, list[str]] = {}
-    for row in found:
-        columns.setdefault(row["shape"], []).extend([row["attribute"]] if row["attribute"] is not None else [])
-    return {shape: flat_table(nodes, [shape], sorted(names), key) for shape, names in columns.items()}
+def flat_tables(df: DataFrame, key: str, json_col: str) -> dict[str, DataFrame]:
+    """Every child table of the records, by name ("" is that of the records themselves)."""
+    schema = merged_schema(df, key, json_col)
+    nodes = node_rows(df, key, json_col, schema)
+    return {name: child_table(nodes, schema, name, key) for name in schema_tables(schema)}
