@@ -203,7 +203,7 @@ def negated_scopes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def negated_spans(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "cases_clean").where("document is not null").select("row_no", F.inline(negation.negated_spans("document")))
+    return table(spark, d, "cases_clean").where("document is not null").select("row_no", F.inline(negation.negated_spans(F.col("document"))))
 
 
 def negation_triggers(spark: SparkSession, d: str) -> DataFrame:
@@ -214,14 +214,14 @@ def negation_triggers(spark: SparkSession, d: str) -> DataFrame:
 def negation_parse_query(spark: SparkSession, d: str) -> DataFrame:
     """Terms every served search asserts and denies, by how often they were asked for."""
     log = usage.distinct_requests(table(spark, d, "search_log")).groupBy("query_id").agg(F.count("*").alias("asked"))
-    p = negation.query_polarity("query")
+    p = negation.query_polarity(F.col("query"))
     told = table(spark, d, "gold_queries").select("query_id", p.alias("p"))
     return log.join(told, "query_id").select("query_id", "asked", "p.positive", "p.negative")
 
 
 def document_polarity(spark: SparkSession, d: str) -> DataFrame:
     """Terms each case document asserts and denies, counted."""
-    p = negation.query_polarity("document")
+    p = negation.query_polarity(F.col("document"))
     return table(spark, d, "cases_clean").select("row_no", p.alias("p")).select("row_no", F.size("p.positive").alias("asserted"), F.size("p.negative").alias("denied"))
 
 
@@ -301,10 +301,10 @@ def citation_validity(spark: SparkSession, d: str) -> DataFrame:
 
 def term_statuses(spark: SparkSession, d: str) -> DataFrame:
     """Of each gold query and candidate: contradicted and shared denials."""
-    told = table(spark, d, "gold_queries").select("query_id", negation.query_polarity("query").alias("p"))
+    told = table(spark, d, "gold_queries").select("query_id", negation.query_polarity(F.col("query")).alias("p"))
     texts = R.latest_cases(spark, d).select("case_id", F.substring("document", 1, 1600).alias("text"))
     pool = R._branch(spark, d, "document", 30).join(told, "query_id").join(texts, "case_id")
-    return pool.withColumn("m", negation.polarity_matches("p.positive", "p.negative", "text")).select("query_id", "case_id", "m.conflicts", "m.agreements")
+    return pool.withColumn("m", negation.polarity_matches(F.col("p.positive"), F.col("p.negative"), F.col("text"))).select("query_id", "case_id", "m.conflicts", "m.agreements")
 
 
 def summary_status(spark: SparkSession, d: str) -> DataFrame:
@@ -314,6 +314,56 @@ def summary_status(spark: SparkSession, d: str) -> DataFrame:
 _LOG1 = "(SELECT * FROM search_log QUALIFY row_number() OVER (PARTITION BY correlation_id ORDER BY log_id) = 1 OR correlation_id IS NULL)"
 _PRICE = "CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))"
 _END_SQL = r"[.;:,()\n]|\b(?:" + "|".join(negation.ENDINGS) + r")\b"
+
+
+def _scopes_sql(name: str, source: str, key: str, text: str) -> str:
+    """CTEs {name}_p (k, t) and {name}_sc (k, s, e): the scopes of each text by position."""
+    total = lambda of: f"coalesce(list_sum(list_transform({of}, lambda x: length(x))), 0)"
+    return rf"""
+{name}_p AS (SELECT {key} AS k, {text} AS t FROM {source} WHERE {text} IS NOT NULL),
+{name}_t AS (SELECT k, t, regexp_split_to_array(t, '(?i){negation._TRIGGER}') AS seg, regexp_extract_all(t, '(?i){negation._TRIGGER}') AS trig FROM {name}_p),
+{name}_i AS (SELECT k, t, seg, trig, unnest(range(1, len(trig) + 1)) AS i FROM {name}_t),
+{name}_a AS (SELECT k, t, CAST({total("seg[1:i]")} + {total("trig[1:i]")} AS BIGINT) AS s FROM {name}_i),
+{name}_sc AS (SELECT * FROM (SELECT k, s, s + length(regexp_extract(substring(t, s + 1, 80), '(?is)^(.*?)(?:{_END_SQL}|$)', 1)) AS e FROM {name}_a) WHERE e > s)"""
+
+
+def _polarity_sql(name: str) -> str:
+    """CTE {name}_terms (k, denied, w) over the scopes of {name}."""
+    none = ", ".join(f"'{w}'" for w in negation._NO_CONTENT)
+    return rf"""
+{name}_ws AS (SELECT k, regexp_extract_all(t, '{negation.WORD}') AS w, regexp_split_to_array(t, '{negation.WORD}') AS g FROM {name}_p),
+{name}_wi AS (SELECT k, w, g, unnest(range(1, len(w) + 1)) AS i FROM {name}_ws),
+{name}_wp AS (SELECT k, i, lower(w[i]) AS w, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS at FROM {name}_wi),
+{name}_tok AS (SELECT k, i, w, length(w) > 2 AND w NOT IN ({none}) AS content, EXISTS (SELECT 1 FROM {name}_sc s WHERE s.k = p.k AND s.s <= p.at AND p.at < s.e) AS denied FROM {name}_wp p),
+{name}_two AS (SELECT k, w || ' ' || lead(w) OVER o AS w, content AND lead(content) OVER o AS content, denied OR lead(denied) OVER o AS denied FROM {name}_tok WINDOW o AS (PARTITION BY k ORDER BY i)),
+{name}_pr AS (SELECT DISTINCT k, denied, w FROM {name}_two WHERE content),
+{name}_terms AS (SELECT * FROM {name}_pr UNION SELECT k, denied, w FROM {name}_tok t WHERE content AND length(w) >= 5
+  AND NOT EXISTS (SELECT 1 FROM {name}_pr p WHERE p.k = t.k AND p.denied = t.denied AND contains(p.w, t.w)))"""
+
+
+def _status_sql(pool: str) -> str:
+    """CTE matched (query_id, case_id, conflicts, agreements) of a pool (query_id, case_id, text)."""
+    return f"""
+g AS (SELECT query_id, query FROM gold_queries), {_scopes_sql("q", "g", "query_id", "query")}, {_polarity_sql("q")},
+few AS (SELECT DISTINCT case_id, text FROM {pool}), {_scopes_sql("c", "few", "case_id", "text")},
+cut AS (SELECT DISTINCT p.case_id, t.w, string_split(lower(p.text), t.w) AS parts FROM {pool} p JOIN q_terms t ON t.k = p.query_id WHERE p.text IS NOT NULL),
+occ AS (SELECT case_id, w, parts, unnest(range(1, len(parts))) AS j FROM cut),
+pos AS (SELECT case_id, w, list_sum(list_transform(parts[1:j], lambda x: length(x))) + (j - 1) * length(w) AS at FROM occ),
+st AS (SELECT case_id, w, bool_and(EXISTS (SELECT 1 FROM c_sc s WHERE s.k = p.case_id AND s.s <= p.at AND p.at < s.e)) AS negated FROM pos p GROUP BY ALL),
+matched AS (SELECT p.query_id, p.case_id, count(*) FILTER ((negated AND NOT denied) OR (NOT negated AND denied)) AS conflicts, count(*) FILTER (negated AND denied) AS agreements
+  FROM {pool} p LEFT JOIN q_terms t ON t.k = p.query_id LEFT JOIN st ON st.case_id = p.case_id AND st.w = t.w GROUP BY ALL)"""
+
+
+def _adjusted_sql(ranked: str) -> str:
+    """The re-ranked ten of each query from a list (query_id, case_id, score, rank)."""
+    return f"""
+texts AS (SELECT r.*, coalesce(nullif(substring(document, 1, 1600), ''), substring(document, 1, 300)) AS text, [outcome_class] AS flags FROM {ranked} r LEFT JOIN cases USING (case_id)),
+{_status_sql("texts")},
+adj AS (SELECT query_id, case_id, score, rank, CASE WHEN conflicts > 0 THEN round(score * power(0.75::DOUBLE, conflicts), 4) WHEN agreements > 0 THEN round(least(1.0::DOUBLE, score * 1.05::DOUBLE), 4) ELSE score END AS adjusted,
+  CASE WHEN conflicts > 0 THEN list_append(flags, 'negation_conflict') ELSE flags END AS flags FROM texts JOIN matched USING (query_id, case_id))
+SELECT query_id, case_id, score, adjusted, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, rank, case_id) AS new_rank, flags FROM adj QUALIFY new_rank <= 10"""
+
+
 ORACLE = {
     "log_dedup": f"SELECT log_id, correlation_id, query_id, k FROM {_LOG1}",
     "usage_daily": f"""SELECT strftime(requested_at, '%Y-%m-%d') AS day, profile, count(*) AS requests, count(*) FILTER (top_case_id IS NULL) AS empty,
@@ -381,6 +431,18 @@ ORACLE = {
           CAST(1 + list_sum(list_transform(seg[1:i], lambda x: length(x))) + list_sum(list_transform(trig[1:i], lambda x: length(x))) AS BIGINT), 80)) AS l FROM p),
         s AS (SELECT row_no, list_filter(list_transform(l, lambda x: regexp_extract(x, '(?is)^(.*?)(?:{_END_SQL}|$)', 1)), lambda x: x <> '') AS l FROM w)
         SELECT row_no, len(l) AS n, md5(array_to_string(l, '|')) AS scopes FROM s""",
+    "negated_spans": f"WITH {_scopes_sql('d', 'cases_clean', 'row_no', 'document')} SELECT k AS row_no, s AS start, e AS \"end\" FROM d_sc",
+    "negation_parse_query": f"""WITH {_scopes_sql('q', 'gold_queries', 'query_id', 'query')}, {_polarity_sql('q')},
+        a AS (SELECT query_id, count(*) AS asked FROM {_LOG1} WHERE query_id IS NOT NULL GROUP BY 1),
+        l AS (SELECT k, list(w ORDER BY w) FILTER (NOT denied) AS positive, list(w ORDER BY w) FILTER (denied) AS negative FROM q_terms GROUP BY k)
+        SELECT query_id, asked, coalesce(positive, []) AS positive, coalesce(negative, []) AS negative FROM a JOIN gold_queries USING (query_id) LEFT JOIN l ON k = query_id""",
+    "document_polarity": f"""WITH {_scopes_sql('d', 'cases_clean', 'row_no', 'document')}, {_polarity_sql('d')}
+        SELECT row_no, count(w) FILTER (NOT denied) AS asserted, count(w) FILTER (denied) AS denied FROM cases_clean LEFT JOIN d_terms ON k = row_no GROUP BY row_no""",
+    "term_statuses": f"""WITH {R._CASES_SQL}, {R._branch_sql('doc', 'document', 30)},
+        pool AS (SELECT query_id, case_id, substring(document, 1, 1600) AS text FROM doc JOIN cases USING (case_id)), {_status_sql('pool')} SELECT * FROM matched""",
+    "search_fast": f"{R._FUSED_SQL}, top AS (SELECT query_id, case_id, score, rank FROM fused WHERE rank <= 30), {_adjusted_sql('top')}",
+    "search_thorough": f"""{R._FUSED_SQL}, {R._rerank_ctes(50, 50, 0.9)},
+        top AS (SELECT query_id, case_id, blend AS score, new_rank AS rank FROM rr), {_adjusted_sql('top')}""",
     "negation_triggers": f"SELECT trigger, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(document), '{negation._TRIGGER}')) AS trigger FROM cases_clean) GROUP BY trigger",
     "match_labels": f"""{R._FUSED_SQL} SELECT CASE WHEN score >= 0.5::DOUBLE THEN 'high' WHEN score >= 0.34::DOUBLE THEN 'moderate' ELSE 'weak' END AS label, count(*) AS hits
         FROM fused WHERE rank <= 10 GROUP BY 1""",

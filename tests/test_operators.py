@@ -1,8 +1,10 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from caselode.functions import positions
 from caselode.operators import corpus, evaluate, explain, fusion, negation, retrieve, sampling, skew, usage
 from caselode.operators.filters import SearchFilters, SearchRequest, check_explain_ids
 
@@ -112,22 +114,60 @@ def test_sparse(spark):
     assert got == [(1, 1, round(5 / 3**0.5, 6)), (2, 2, 1.0)]
 
 
-def test_negation_spans_and_status():
-    text = "Denies fever, chills. No history of rash but cough; without pain"
-    assert [text[a:b] for a, b in negation.spans(text)] == [" fever", " rash ", " pain"]
-    found = negation.spans("no trash")
-    assert negation.term_status("no trash", found, "rash") == "negated"
-    assert negation.term_status("rash. no rash", negation.spans("rash. no rash"), "rash") == "asserted"
-    assert negation.term_status("", [], "rash") == "absent"
-    assert negation.parse_query("abdominal pain and vomiting, no fever, no diarrhea")[1] == ["diarrhea", "fever"]
-    assert "abdominal pain" in negation.parse_query("abdominal pain and vomiting, no fever")[0]
-
-
-def test_native_scopes_equal_positions(spark):
-    texts = ["no fever, no cough. denied any pain however rash", "NOT seen;", "without " + "x" * 200, "nothing", "", "free of rash\nfever no", "no no fever"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r["s"] for r in df.select(negation.native_scopes(F.col("t")).alias("s")).collect()]
-    assert got == [[t[a:b] for a, b in negation.spans(t)] for t in texts]
+def char_by_char(text):
+    """For each character: does it lie in a scope? Read off the rule, character by character."""
+    low, inside = text.lower(), [False] * len(text)
+    at = 0
+    whole = lambda i, w: low.startswith(w, i) and not re.match(r"\w", low[i - 1 : i]) and not re.match(r"\w", low[i + len(w) : i + len(w) + 1])
+    while at < len(low):
+        trigger = next((t for t in negation.TRIGGERS if whole(at, t)), None)
+        if trigger is None:
+            at += 1
+            continue
+        at += len(trigger)
+        for i in range(at, min(at + negation.SCOPE_CHARS, len(low))):
+            if low[i] in ".;:,()\n" or any(whole(i, w) for w in negation.ENDINGS):
+                break
+            inside[i] = True
+    return inside
+
+
+TEXTS = [
+    "Denies fever, chills. No history of rash but cough; without pain", "no trash", "rash. no rash", "", "abdominal pain and vomiting, no fever, no diarrhea",
+    "no fever, no cough. denied any pain however rash", "NOT seen;", "without " + "x" * 200, "nothing", "free of rash\nfever no", "no no fever", "not no fever and no evidence of disease except rash",
+    "é no über fever. 𝒳 denies 𝒳 pain", None,
+]
+
+
+def test_spans_equal_the_rule_read_character_by_character(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    for r in df.select("t", negation.negated_spans(F.col("t")).alias("s"), negation.native_scopes(F.col("t")).alias("n")).collect():
+        if r["t"] is None:
+            assert r["s"] is None
+            continue
+        got = [False] * len(r["t"])
+        for a, b in r["s"]:
+            got[a:b] = [True] * (b - a)
+        assert got == char_by_char(r["t"]), r["t"]
+        assert r["n"] == [r["t"][a:b] for a, b in r["s"]]
+
+
+def test_status_and_polarity(spark):
+    df = spark.createDataFrame([("no trash", "rash"), ("rash. no rash", "rash"), ("", "rash"), ("No RASH", "rash"), (None, "rash"), ("a rash", "")], "t string, w string")
+    text = F.coalesce("t", F.lit(""))
+    got = [r[0] for r in df.select(negation.term_status(text, negation.negated_spans(text), F.col("w"))).collect()]
+    assert got == ["negated", "asserted", "absent", "negated", "absent", "absent"]
+    p = spark.createDataFrame([("abdominal pain and vomiting, no fever, no diarrhea",), (None,), ("of the",)], "q string").select(negation.query_polarity(F.col("q")).alias("p")).select("p.*").collect()
+    assert p[0]["negative"] == ["diarrhea", "fever"] and p[0]["positive"] == ["abdominal pain", "vomiting"]
+    assert p[1]["positive"] == p[1]["negative"] == p[2]["positive"] == []
+
+
+def test_positions_of_long_texts(spark):
+    text = "no fever. " * 3000
+    df = spark.createDataFrame([(text,)], "t string")
+    s = df.select(negation.negated_spans(F.col("t")).alias("s"), positions.occurrences(F.col("t"), F.lit("FEVER")).alias("o")).first()
+    assert [tuple(x) for x in s["s"]] == [(10 * i + 2, 10 * i + 8) for i in range(3000)]
+    assert s["o"] == [10 * i + 3 for i in range(3000)]
 
 
 def test_adjust(spark):
