@@ -21,7 +21,11 @@ IMPROVED = (
     r"(?i)\b(?:improv|recover|resolv|discharged (?:home|in (?:a )?(?:stable|good))|stable condition|symptom[- ]free"
     r"|uneventful|good condition|well at follow)\w*"
 )
-AGE = r"(\d{1,3})\s*[-–\s]?\s*(year|yr|y/o|yo|month|week|day)?"
+AGE = r"(\d{1,3})\s*(?:-|–|\s)?\s*(year|yr|y/o|yo|month|week|day)?"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+PLACEHOLDERS = (r"\[\*\*.*?\*\*\]", r"\bXXXX+\b")
+REDACTED = "[REDACTED]"
+BROKEN_WORD = r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])"
 # End of fixed values.
 
 
@@ -43,10 +47,10 @@ def strip(c: Column) -> Column:
 
 def clean_layout(c: Column) -> Column:
     """Control characters, placeholders, broken hyphens, runs of blanks and empty lines."""
-    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
-    c = F.regexp_replace(c, r"\[\*\*.*?\*\*\]", "[REDACTED]")
-    c = F.regexp_replace(c, r"\bXXXX+\b", "[REDACTED]")
-    c = F.regexp_replace(c, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
+    c = F.regexp_replace(c, CONTROL, " ")
+    for pattern in PLACEHOLDERS:
+        c = F.regexp_replace(c, pattern, REDACTED)
+    c = F.regexp_replace(c, BROKEN_WORD, "$1$2")
     c = F.regexp_replace(c, r"[ \t]{2,}", " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return strip(c)

@@ -43,12 +43,12 @@ def build_cases(raw: DataFrame, cfg: EngineConfig = DEFAULT, with_nfkc: bool = T
     clean = T.clean_text if with_nfkc else T.clean_layout
     first = keep_first(raw, T.text_hash(F.col("note")), "line_no")
     values = F.map_values(F.expr("try_variant_get(_v, '$.discharge', 'map<string,variant>')"))
-    discharge = F.array_join(F.transform(values, lambda v: F.try_variant_get(v, "$", "string")), " ")
+    discharge = F.array_join(F.transform(values, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))), " ")
     missing = F.col("_s.status") == "failed"
     return (
         first.withColumn("document", clean(T.fallback(F.col("full_note"), F.col("note"))))
         .where(T.word_count(F.col("document")) >= cfg.min_words)
-        .withColumn("_s", json_repair.parsed("summary"))
+        .withColumn("_s", json_repair.parsed(F.col("summary")))
         .withColumn("_v", F.try_parse_json("_s.json"))
         .withColumn("age", T.normalize_age(F.expr("""try_variant_get(_v, '$["patient information"].age', 'string')""")))
         .select(

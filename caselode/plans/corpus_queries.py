@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caselode.functions import text as T
 from caselode.operators import corpus
 from caselode.operators.skew import spread
+from caselode.plans import nested_queries
 from caselode.sources.tables import table
 
 WS = r"[\s\x{85}\p{Z}]"
@@ -77,6 +78,13 @@ def corpus_cases(spark: SparkSession, d: str) -> DataFrame:
     return corpus.build_cases(spread(raw))
 
 
+def corpus_cases_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Clean cases without the compatibility composition; those whose summary needed no repair."""
+    raw = table(spark, d, "augmented_notes_30k").select("line_no", "idx", "note", "full_note", "summary")
+    cases = corpus.build_cases(spread(raw), with_nfkc=False).where("summary_status <> 'repaired'")
+    return cases.select("line_no", "case_id", F.md5("document").alias("document"), "summary_status", "sex", F.col("age").cast("long").alias("age"), "age_band", "outcome_class", F.array_join("quality_flags", ",").alias("quality_flags"))
+
+
 def corpus_min_length(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "augmented_notes_30k").select("line_no", "note", "full_note")
     first = corpus.keep_first(raw, T.text_hash(F.col("note")), "line_no")
@@ -92,6 +100,25 @@ SELECT line_no, words FROM counted WHERE words >= 60
 """
 
 
+def _cases_sql(summaries: str) -> str:
+    """``summaries`` ends in a CTE docs (line_no, j) of the well-formed summaries."""
+    joined = "coalesce(discharge, '') || ' ' || substring(document, CAST(floor(length(document) * 0.85) AS INT) + 1)"
+    return rf"""{summaries}, first AS (SELECT min(line_no) AS line_no FROM augmented_notes_30k GROUP BY sha256(coalesce(note, ''))),
+texts AS (SELECT line_no, 'acn-' || coalesce(idx, CAST(line_no AS VARCHAR)) AS case_id, coalesce(summary, '') AS s, {_clean_sql("coalesce(nullif(full_note, ''), note)")} AS document FROM augmented_notes_30k JOIN first USING (line_no)),
+ends AS (SELECT line_no, string_agg(e.value ->> '$', ' ') AS discharge FROM docs, json_each(j, '$.discharge') e WHERE json_type(j, '$.discharge') = 'OBJECT' GROUP BY line_no),
+rows AS (SELECT t.*, d.j, d.j ->> '$."patient information".sex' AS sex_text, lower(trim(d.j ->> '$."patient information".age')) AS age_text, discharge, {joined} AS tail
+  FROM texts t LEFT JOIN docs d USING (line_no) LEFT JOIN ends USING (line_no)
+  WHERE {_words_sql("document")} >= 60 AND (d.j IS NOT NULL OR NOT contains(s, '{{') OR (json_valid(s) AND NOT regexp_matches(s, ',\s*[}}\]]')))),
+aged AS (SELECT *, CASE WHEN age_text NOT IN {T.EMPTY_WHEN_CLEANING} AND regexp_extract(age_text, '{T.AGE}', 1) <> '' THEN
+  CASE WHEN regexp_extract(age_text, '{T.AGE}', 2) IN ('month', 'week', 'day') THEN 0 ELSE CAST(regexp_extract(age_text, '{T.AGE}', 1) AS BIGINT) END END AS years FROM rows),
+known AS (SELECT *, CASE WHEN years BETWEEN 0 AND 120 THEN years END AS age FROM aged)
+SELECT line_no, case_id, md5(document) AS document, CASE WHEN j IS NULL THEN 'failed' ELSE 'ok' END AS summary_status, {_SEX_SQL.format("sex_text")} AS sex, age,
+  CASE WHEN age IS NULL THEN 'unknown' ELSE (age // 10 * 10)::VARCHAR || '-' || (age // 10 * 10 + 9)::VARCHAR END AS age_band,
+  CASE WHEN regexp_matches(tail, '{T.DECEASED}') THEN 'deceased' WHEN regexp_matches(tail, '{T.DETERIORATED}') THEN 'deteriorated' WHEN regexp_matches(tail, '{T.IMPROVED}') THEN 'improved' ELSE 'unknown' END AS outcome_class,
+  CASE WHEN j IS NULL THEN 'no_structured_summary' ELSE '' END AS quality_flags FROM known
+"""
+
+
 def corpus_point_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases_clean").select("row_no", T.uuid5_dns(F.col("case_id")).alias("point_id"))
 
@@ -270,7 +297,7 @@ SELECT row_no, {strata} FROM q ORDER BY rn > quota, h, row_no LIMIT {size}
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_documents, corpus_dedup, corpus_clean_text, corpus_nfkc_clean, corpus_cases, corpus_min_length, corpus_point_id,
+        corpus_documents, corpus_dedup, corpus_clean_text, corpus_nfkc_clean, corpus_cases, corpus_cases_layout, corpus_min_length, corpus_point_id,
         corpus_note_checks, corpus_duplicates, summary_attributes, outcome_class, profile_distribution, profile_field_counts,
         profile_top_values, profile_section_coverage, quality_flag_counts, upsert_latest, stratified_sample, gold_sample,
     )
@@ -279,6 +306,7 @@ ORACLE = {
     "corpus_documents": CORPUS_DOCUMENTS,
     "corpus_dedup": CORPUS_DEDUP,
     "corpus_clean_text": CORPUS_CLEAN,
+    "corpus_cases_layout": _cases_sql(nested_queries._TREE),
     "corpus_min_length": CORPUS_MIN_LENGTH,
     "corpus_point_id": """WITH h AS (SELECT row_no, sha1('\\x6B\\xA7\\xB8\\x10\\x9D\\xAD\\x11\\xD1\\x80\\xB4\\x00\\xC0\\x4F\\xD4\\x30\\xC8'::BLOB || encode(case_id)) AS h FROM cases_clean)
         SELECT row_no, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substring('89ab', CAST(('0x' || h[17:17])::BIGINT % 4 AS BIGINT) + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h""",

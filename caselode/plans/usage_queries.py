@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from caselode.functions import json_repair, text as T
-from caselode.operators import corpus, explain, fusion, negation, retrieve, usage
-from caselode.plans import retrieval_queries as R
+from caselode.operators import corpus, explain, fusion, negation, nested, usage
+from caselode.plans import nested_queries as N, retrieval_queries as R
 from caselode.sources.tables import table
 
 
@@ -308,7 +308,19 @@ def term_statuses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_status(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "augmented_notes_30k").select("line_no", json_repair.parsed("summary").alias("p")).select("line_no", "p.status", "p.json")
+    return table(spark, d, "augmented_notes_30k").select("line_no", json_repair.parsed(F.col("summary")).alias("p")).select("line_no", "p.status", "p.json")
+
+
+def summary_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of every delivered summary: was it an object as it stands, after a repair, or not at all?"""
+    return summary_status(spark, d).select("line_no", "status")
+
+
+def summary_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """What pruning leaves of the well-formed summaries: each value, by its attribute."""
+    kept = summary_status(spark, d).where("status = 'ok'").select("line_no", "json")
+    rows = nested.node_rows(kept, "line_no", "json").select("line_no", F.explode("attributes").alias("attribute", "value"))
+    return rows.groupBy("line_no", "attribute", "value").agg(F.count("*").alias("n"))
 
 
 _LOG1 = "(SELECT * FROM search_log QUALIFY row_number() OVER (PARTITION BY correlation_id ORDER BY log_id) = 1 OR correlation_id IS NULL)"
@@ -431,6 +443,11 @@ ORACLE = {
           CAST(1 + list_sum(list_transform(seg[1:i], lambda x: length(x))) + list_sum(list_transform(trig[1:i], lambda x: length(x))) AS BIGINT), 80)) AS l FROM p),
         s AS (SELECT row_no, list_filter(list_transform(l, lambda x: regexp_extract(x, '(?is)^(.*?)(?:{_END_SQL}|$)', 1)), lambda x: x <> '') AS l FROM w)
         SELECT row_no, len(l) AS n, md5(array_to_string(l, '|')) AS scopes FROM s""",
+    "summary_checks": N._TREE + """, marks AS (SELECT line_no, coalesce(summary, '') AS s FROM augmented_notes_30k)
+        SELECT line_no, CASE WHEN d.j IS NOT NULL THEN 'ok' WHEN contains(s, '{') AND NOT (json_valid(s) AND NOT regexp_matches(s, ',\\s*[}\\]]')) THEN 'repaired' ELSE 'failed' END AS status
+        FROM marks LEFT JOIN docs d USING (line_no)""",
+    "summary_leaves": N._TREE + f""", v AS (SELECT line_no, attribute, trim(value, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) AS value FROM leaves)
+        SELECT line_no, attribute, value, count(*) AS n FROM v WHERE value IS NOT NULL AND value <> '[]' AND lower(value) NOT IN {T.EMPTY_WHEN_CLEANING} GROUP BY ALL""",
     "negated_spans": f"WITH {_scopes_sql('d', 'cases_clean', 'row_no', 'document')} SELECT k AS row_no, s AS start, e AS \"end\" FROM d_sc",
     "negation_parse_query": f"""WITH {_scopes_sql('q', 'gold_queries', 'query_id', 'query')}, {_polarity_sql('q')},
         a AS (SELECT query_id, count(*) AS asked FROM {_LOG1} WHERE query_id IS NOT NULL GROUP BY 1),
@@ -469,7 +486,7 @@ QUERIES = {
         outcome_pivot, index_reconcile, resume_anti_join, docs_semi_join, case_lookup, snippet_left_join, group_by_case, label_centroids,
         source_late_rows, lab_trends, event_windows, event_sessions, budget_packing, pricing_summary, nation_revenue, top_orders,
         negated_scopes, negated_spans, negation_triggers, negation_parse_query, search_fast, search_thorough, match_labels,
-        explain_context, explain_prompt, explain_validate, explain_fallback, citation_validity, cache_keys, summary_status,
+        explain_context, explain_prompt, explain_validate, explain_fallback, citation_validity, cache_keys, summary_status, summary_checks, summary_leaves,
         mean_latency, query_acceptance, document_polarity, index_health, precision_by_month, term_statuses,
     )
 }

@@ -1,3 +1,4 @@
+import json
 import uuid
 
 import pytest
@@ -62,11 +63,27 @@ def test_labels_and_predicates(spark):
         ('```json\n{"a": 1}\n```', "repaired", {"a": 1}), ("[]", "failed", None), ("None", "failed", None), ("", "failed", None), (None, "failed", None), ("[1]", "failed", None),
     ],
 )
-def test_repair(text, status, value):
-    assert J.parse_with_status(text) == (value, status)
+def test_repair(spark, text, status, value):
+    got = one(spark, J.parsed, text)
+    assert got["status"] == status and (got["json"] is None if value is None else json.loads(got["json"]) == value)
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ('{"a": {"b": 1}, "c": [tru', {"a": {"b": 1}}), ('{"a": "x", "b', {"a": "x"}), ('{"a": "x", "b":', {"a": "x"}), ('{"a": [{"b": "x"}, {"c', {"a": [{"b": "x"}]}),
+        ('so: {"a": 1} as asked', {"a": 1}), ('{"a": "say \\"x\\" now",}', {"a": 'say "x" now'}), ('{"a": "{[",}', {"a": "{["}), ("{", None), ('{"a"', None), ("x" * 70000 + "{", None),
+    ],
+)
+def test_repair_of_cut_texts(spark, text, value):
+    got = one(spark, J.parsed, text)["json"]
+    assert (json.loads(got) if got else None) == value
 
 
 def test_prune(spark):
-    assert J.prune({"a": " x ", "b": "N/A", "c": {"d": []}, "e": [None, "-", {"f": 0}]}) == {"a": "x", "e": [{"f": 0}]}
-    rows = spark.createDataFrame([('{"a": "none"}',), (None,), ("{",)], "s string").select(J.parsed("s").alias("p")).select("p.*").collect()
-    assert [tuple(r) for r in rows] == [("{}", "ok"), (None, "failed"), (None, "failed")]
+    texts = ['{"a": " x ", "b": "N/A", "c": {"d": []}, "e": [null, "-", {"f": 0}]}', '{"a": "none"}', None, "{", '{"none": 1, " k": "\\n y\\t", "q": "a \\"null\\" b", "l": [[], [""], false, ["x", null, null, "y"]]}', '{"a": {"b": {"c": {"d": [[{"e": "Unknown"}]]}}}}']
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select(J.parsed(F.col("s")).alias("p")).select("p.*").collect()
+    assert [r["status"] for r in rows] == ["ok", "ok", "failed", "failed", "ok", "ok"]
+    assert [json.loads(r["json"]) if r["json"] else None for r in rows] == [
+        {"a": "x", "e": [{"f": 0}]}, {}, None, None, {"none": 1, " k": "y", "q": 'a "null" b', "l": [False, ["x", "y"]]}, {},
+    ]
