@@ -8,6 +8,8 @@ Because pi is constant within a category, the prefix sum before the r-th case is
 cases before it were taken is known without a second pass; floors are repaired by the same arithmetic:
 categories below min(min_rows, available) take their first cases not yet taken, and where that makes a plan
 larger than sample_size, the categories with the largest surplus over their floor give back their last ones.
+A category with fewer cases than needed gives nothing back: all its cases are in the sample, and the report finds it
+by what was drawn (``sampled`` = available, yet less than needed).
 
 Defined results: letter case and outer blanks of a category don't matter; null categories and null ids are no
 cases; a case written several times counts once per category; a plan's shares need not add up to 1 (each is
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from caselode.operators.skew import broadcast_if_small
 from caselode.session import cut_lineage
 
 MAX_TARGETS = 100_000
@@ -46,7 +49,7 @@ def ordered_cases(cases: DataFrame, case_id: str, class_col: str, seed: int) ->
     parts = laid.groupBy("part", "cls").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.select("part", "cls", (before - F.col("first")).alias("shift"))
-    return laid.join(F.broadcast(offsets), ["part", "cls"]).select("case_id", "cls", (F.col("at") + F.col("shift")).alias("rank"))
+    return laid.join(broadcast_if_small(cut_lineage(offsets)), ["part", "cls"]).select("case_id", "cls", (F.col("at") + F.col("shift")).alias("rank"))
 
 
 def quotas(targets: DataFrame, available: DataFrame, seed: int) -> DataFrame:
@@ -66,10 +69,10 @@ def quotas(targets: DataFrame, available: DataFrame, seed: int) -> DataFrame:
         .withColumn("base", F.coalesce(F.sum("mass").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.col("u"))
         .withColumn("drawn", F.floor(F.col("base") + F.col("mass") + 1e-9) - F.floor(F.col("base")))
         .withColumn("drawn", F.least("drawn", "available"))
-        .withColumn("floor", F.least(F.coalesce("min_rows", F.lit(0)).cast("long"), "available"))
+        .withColumn("floor", F.when(F.col("available") < F.col("needed"), F.col("available")).otherwise(F.least(F.coalesce("min_rows", F.lit(0)).cast("long"), "available")))
         .withColumn("raised", F.greatest("drawn", "floor"))
         .withColumn("over", F.greatest(F.sum("raised").over(plan) - F.greatest("sample_size", F.sum("drawn").over(plan)), F.lit(0)))
-        .withColumn("spare", F.col("raised") - F.greatest("floor", F.least("drawn", "floor")))
+        .withColumn("spare", F.col("raised") - F.col("floor"))
     )
     givers = plan.orderBy(F.desc("spare"), "cls", "outcome_class")
     given_before = F.coalesce(F.sum("spare").over(givers.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -95,9 +98,11 @@ def proportional_sample(cases: DataFrame, targets: DataFrame, case_id: str = "ca
         (crosses & (taken_before < F.col("taken"))) | (~crosses & (r - taken_before < F.col("taken") - F.col("drawn")))
     ).select("plan_id", "outcome_class", "case_id")
     counts = sample.groupBy("plan_id", "outcome_class").agg(F.count("*").alias("sampled"))
-    short = F.greatest(F.col("needed") - F.col("available"), F.lit(0))
+    sampled = F.coalesce("sampled", F.lit(0))
+    # short: the draw took all there are, and that is less than needed
+    short = F.when((sampled < F.col("needed")) & (sampled == F.col("available")), F.col("needed") - sampled).otherwise(0)
     report = plan.join(counts, ["plan_id", "outcome_class"], "left").select(
         "plan_id", "outcome_class", "target_share", "min_rows", "sample_size", "needed", "available",
-        F.coalesce("sampled", F.lit(0)).alias("sampled"), short.alias("short_by"),
+        sampled.alias("sampled"), short.alias("short_by"),
     )
     return sample, report

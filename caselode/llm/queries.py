@@ -14,18 +14,25 @@ def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _sampled(spark, d)[1].where("available < needed").select("plan_id", "outcome_class")
+    return _sampled(spark, d)[1].where("short_by > 0").select("plan_id", "outcome_class")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return _sampled(spark, d)[1]
 
 
+def p1_shortfalls(spark: SparkSession, d: str) -> DataFrame:
+    """Every target row with what it needs, what there is and how much is missing; and whether the draw kept its floor."""
+    report = _sampled(spark, d)[1]
+    floor = F.least(F.coalesce("min_rows", F.lit(0)), "available")
+    return report.select("plan_id", "outcome_class", "needed", "available", "short_by", (F.col("sampled") >= floor).alias("floor_kept"))
+
+
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return _sampled(spark, d)[0]
 
 
-P1_SQL = """
+_P1_NEED = """
 WITH avail AS (
   SELECT lower(trim(outcome_class)) AS cls, count(DISTINCT case_id) AS available
   FROM cases_clean WHERE outcome_class IS NOT NULL GROUP BY 1),
@@ -33,8 +40,9 @@ need AS (
   SELECT plan_id, outcome_class, greatest(min_rows, CAST(round(target_share * sample_size) AS BIGINT)) AS needed,
          coalesce(available, 0) AS available
   FROM sample_targets t LEFT JOIN avail a ON a.cls = lower(trim(t.outcome_class)))
-SELECT plan_id, outcome_class FROM need WHERE available < needed
 """
+P1_SQL = _P1_NEED + "SELECT plan_id, outcome_class FROM need WHERE available < needed"
+P1_SHORTFALLS = _P1_NEED + "SELECT plan_id, outcome_class, needed, available, greatest(needed - available, 0) AS short_by, true AS floor_kept FROM need"
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -119,5 +127,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where("not is_prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_redacted, p6_ids, p7_found, p7_alignments, p8_found, p8_stats)}
-ORACLE = {"p1_found": P1_SQL, "p3_found": P3_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_shortfalls, p1_sample, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_redacted, p6_ids, p7_found, p7_alignments, p8_found, p8_stats)}
+ORACLE = {"p1_found": P1_SQL, "p1_shortfalls": P1_SHORTFALLS, "p3_found": P3_SQL}

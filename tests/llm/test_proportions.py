@@ -38,6 +38,29 @@ def test_report_and_sample(spark):
     assert all(by_id[i] == cls for _, cls, i in sample)
 
 
+def test_each_plan_keeps_total_floors_and_shares(spark):
+    cases = [(f"x{i}", "abcdefg"[i % 7]) for i in range(1400)] + [(f"y{i}", "rare") for i in range(3)]
+    targets = [("even", c, 1 / 7, 1, 333) for c in "abcdefg"] + [("uneven", c, w, 2, 150) for c, w in zip("abc", (0.501, 0.333, 0.166))]
+    targets += [("floored", "a", 0.98, 0, 100), ("floored", "b", 0.02, 30, 100), ("floored", "rare", 0.0, 10, 100)]
+    sample, report = run(spark, cases, targets)
+    counts = collections.Counter((plan, cls) for plan, cls, _ in sample)
+    for (plan, cls), r in report.items():
+        assert r["sampled"] == counts[plan, cls] >= min(r["min_rows"], r["available"])
+        if plan != "floored":
+            assert abs(r["sampled"] - r["target_share"] * r["sample_size"]) < 1 and r["short_by"] == 0
+    totals = collections.Counter(plan for plan, _, _ in sample)
+    assert totals["even"] == 333 and totals["uneven"] == 150 and totals["floored"] == 100
+    assert report["floored", "rare"]["sampled"] == 3 and report["floored", "rare"]["short_by"] == 7 and report["floored", "b"]["sampled"] == 30
+
+
+def test_shortfalls_come_from_the_draw(spark):
+    c = spark.createDataFrame(CASES, "case_id string, outcome_class string")
+    t = spark.createDataFrame(TARGETS, "plan_id string, outcome_class string, target_share double, min_rows int, sample_size int")
+    short = p.proportional_sample(c, t)[1].where("short_by > 0").select("plan_id", "outcome_class")
+    assert {tuple(r) for r in short.collect()} == {("a", "deceased"), ("c", "unchanged")}
+    assert "rank" in short._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_same_rows_each_time(spark):
     assert run(spark, CASES, TARGETS)[0] == run(spark, CASES, TARGETS)[0] or set(run(spark, CASES, TARGETS)[0]) == set(run(spark, CASES, TARGETS)[0])
 
