@@ -53,6 +53,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every note and document that has a look-alike, with its class: rows of one class look the same."""
+    notes = canonical.lookalike_classes(spread(table(spark, d, "augmented_notes_30k").select("line_no", "note")), "line_no", "note")
+    documents = canonical.lookalike_classes(spread(table(spark, d, "cases_clean").select("row_no", "document")), "row_no", "document")
+    both = notes.withColumn("field_name", F.lit("note")).unionByName(documents.withColumn("field_name", F.lit("document")))
+    return both.select("field_name", F.hex("class_id").alias("class_id"), F.hex("form").alias("form"), F.col("key").alias("row_key"))
+
+
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     """The one form of every note and document, as text."""
     notes = table(spark, d, "augmented_notes_30k").select(F.lit("note").alias("field_name"), F.col("line_no").alias("row_key"), F.col("note").alias("text"))
@@ -127,5 +135,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where("not is_prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_shortfalls, p1_sample, p2_found, p2_forms, p3_found, p3_pieces, p4_found, p4_redacted, p6_ids, p7_found, p7_alignments, p8_found, p8_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_shortfalls, p1_sample, p2_found, p2_classes, p2_forms, p3_found, p3_pieces, p4_found, p4_redacted, p6_ids, p7_found, p7_alignments, p8_found, p8_stats)}
 ORACLE = {"p1_found": P1_SQL, "p1_shortfalls": P1_SHORTFALLS, "p3_found": P3_SQL}
