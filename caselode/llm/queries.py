@@ -112,8 +112,8 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", encode(F.col("text")).alias("ids"))
 
 
-def _alignments(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leak_alignments(_documents(spark, d), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
+def _alignments(spark: SparkSession, d: str, edited: bool = False) -> DataFrame:
+    return leakage.leak_alignments(_documents(spark, d), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text", edited)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +122,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Also edited and paraphrased copies: at least half of the item's perfect score."""
-    return _alignments(spark, d).where((F.col("longest_run") >= leakage.WINDOW) | (F.col("share") >= 0.5))
+    return _alignments(spark, d, edited=True).where((F.col("longest_run") >= leakage.WINDOW) | (F.col("share") >= 0.5))
 
 
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -70,3 +70,53 @@ def test_every_window_has_a_seed():
     chosen = k.choose_seeds(keys, {int(x): int(rng.integers(0, 9)) for x in keys})
     span = k.WINDOW - k.GRAM + 1
     assert all(any(s <= p < s + span for p in chosen) for s in range(len(keys) - span + 1))
+
+
+def edited(words, rng, way):
+    out = []
+    for i, w in enumerate(words):
+        if way == "replace5" and i % 5 == 4 or way == "replace3" and i % 3 == 2:
+            out.append(f"new{rng.randrange(999)}")
+            continue
+        if way == "drop4" and i % 4 == 3:
+            continue
+        out.append(w)
+        if way == "insert2" and i % 2 or way == "insert1":
+            out.append(f"new{rng.randrange(999)}")
+        if way == "mixed" and rng.random() < 0.3:
+            out[-1:] = rng.choice([[], ["other"], [w, "more"], [w, w]])
+    return out
+
+
+def test_edited_copies_are_all_found(spark):
+    """Every document that full alignment gives at least half of an item's score is found; recall over all edits is 1."""
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(400)] + ["of", "the", "and", "no"] * 30
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(5, 45)))) for i in range(30)]
+    docs = []
+    for d in range(240):
+        noise = rng.choices(vocab, k=rng.choice([20, 60]))
+        way = ["replace5", "replace3", "drop4", "insert2", "insert1", "mixed", "none", "mixed"][d % 8]
+        part = edited(items[d % 30][1].split(), rng, way) if way != "none" else []
+        docs.append((d, " ".join(noise[:10] + part + noise[10:])))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in k.leak_alignments(df, it, "doc_id", "text", "item_id", "text", edited=True).collect()}
+    number = {w: i + 1 for i, w in enumerate(sorted({w for _, t in [*docs, *items] for w in t.split()}))}
+    ids = lambda t: np.array([number[w] for w in t.split()])
+    truth = {}
+    for i, item in items:
+        for d, text in docs:
+            score = k.align(ids(item), ids(text))[0]
+            if score >= k.MATCH * len(item.split()) / 2:
+                truth[d, i] = score
+    assert len(truth) > 150 and set(truth) <= set(got)
+    assert all(got[pair]["score"] == score for pair, score in truth.items())
+    five = {(r["doc_id"], r["item_id"]) for r in k.leak_alignments(df, it, "doc_id", "text", "item_id", "text").collect()}
+    assert len(set(truth) - five) > 30  # what five-word seeds alone would lose
+
+
+def test_repeated_documents_are_each_reported(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text), (1, text), (1, "w1 w2 " + text)], "doc_id long, text string")
+    it = spark.createDataFrame([(7, text)], "item_id long, text string")
+    assert k.leak_alignments(df, it, "doc_id", "text", "item_id", "text").count() == 3
