@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from caselode.operators.retrieve import QUERY_BLOCK, _unit, top_per_query
+from caselode.operators.retrieve import QUERY_BLOCK, _unit, best_columns, top_per_query, usual_length
 from caselode.operators.sampling import bounded_sample
 
 SAMPLE_ROWS = 20_000
@@ -38,8 +38,8 @@ def probes_needed(x: np.ndarray, centres: np.ndarray, n: int, seed: int = 7) ->
 def fit_cells(df: DataFrame, key: str, vector: str, cells: int = 64, n: int = 10, rounds: int = 10, seed: int = 7) -> tuple[np.ndarray, int]:
     """(centres, nprobe): unit vectors by spherical k-means on the sample, and the cells a search for ``n`` reads."""
     told = df.select(F.col(key), F.col(vector)).where(f"`{key}` is not null and size(`{vector}`) > 0")
-    rows = bounded_sample(told, key, SAMPLE_ROWS).orderBy(key).collect()
-    size = max((len(r[1]) for r in rows), default=0)
+    size = usual_length(df, vector)
+    rows = sorted(bounded_sample(told.where(F.size(vector) == size), key, SAMPLE_ROWS).collect(), key=lambda r: r[0])
     x = _unit(np.array([r[1] for r in rows if len(r[1]) == size], dtype=np.float64).reshape(-1, size))
     x = x[np.isfinite(x).all(axis=1)]
     k = min(cells, max(1, len(x)))
@@ -101,7 +101,7 @@ def ann_topn(index: DataFrame, queries: DataFrame, centres: np.ndarray, n: int,
                     keys = rows[key].to_numpy()
                     scores = np.round(q[who] @ _unit(np.vstack(rows[vector].to_numpy()).astype(np.float64)).T, 6)
                     m = min(n, len(keys))
-                    order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores))[:, :m]
+                    order = best_columns(scores, keys, m)
                     yield pd.DataFrame({"query_id": np.repeat(names[who], m), key: keys[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
         # cells nobody asks for are not read

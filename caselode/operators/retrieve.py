@@ -20,23 +20,43 @@ def top_per_query(scored: DataFrame, n: int, order: list[Column], query: str = "
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def dense_topn(corpus: DataFrame, queries: DataFrame, n: int, key: str = "vec_id", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
+def usual_length(df: DataFrame, vector: str) -> int:
+    """The most frequent length of the vectors (the smaller one on ties); 0 without any."""
+    by = df.where(F.size(vector) > 0).groupBy(F.size(vector).alias("n")).agg(F.count("*").alias("c"))
+    found = by.agg(F.max_by("n", F.struct("c", -F.col("n")))).first()[0]
+    return int(found or 0)
+
+
+def best_columns(scores: np.ndarray, keys: np.ndarray, m: int) -> np.ndarray:
+    """Per row the places of the ``m`` best columns, best first, ties by key: only what reaches the m-th best is sorted."""
+    if m >= scores.shape[1]:
+        return np.lexsort((np.broadcast_to(keys, scores.shape), -scores))
+    limit = -np.partition(-scores, m - 1, axis=1)[:, m - 1]
+    out = np.empty((len(scores), m), dtype=np.int64)
+    for i, (row, least) in enumerate(zip(scores, limit)):
+        few = np.flatnonzero(row >= least)
+        out[i] = few[np.lexsort((keys[few], -row[few]))[:m]]
+    return out
+
+
+def dense_topn(corpus: DataFrame, queries: DataFrame, n: int, key: str = "vec_id", vector: str = "embedding", skip_self: bool = False, dim: int | None = None) -> DataFrame:
     """Exact cosine top ``n`` of each query vector against all corpus vectors: query_id, key, score (6 digits), rank.
 
     The stated queries go to the tasks in blocks of QUERY_BLOCK vectors; every Arrow batch is one matrix product
     of which each query's n best rows are passed on, so the shuffle carries candidates, not scores.
-    Vectors that are null, of another length or of length 0 have no score. Ties: the smaller key.
+    Vectors that are null, of another length than ``dim`` (by default the corpus's most frequent one) or of length 0
+    have no score. Ties: the smaller key.
     """
     spark = corpus.sparkSession
     kind, qkind = corpus.schema[key].dataType.simpleString(), queries.schema[key].dataType.simpleString()
     some = queries.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("k is not null and v is not null")
+    size = usual_length(corpus, vector) if dim is None else dim
     blocks = -(-some.count() // QUERY_BLOCK) or 1
     found = None
     for i in range(blocks):
         rows = some.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i).collect()
         if not rows and i:
             continue
-        size = max((len(r["v"]) for r in rows), default=0)
         rows = [r for r in rows if len(r["v"]) == size]
         sent = spark.sparkContext.broadcast(([r["k"] for r in rows], _unit(np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), size))))
 
@@ -50,7 +70,7 @@ def dense_topn(corpus: DataFrame, queries: DataFrame, n: int, key: str = "vec_id
                 x = _unit(np.vstack(batch["v"].to_numpy()[keep]).astype(np.float64))
                 scores = np.round(q @ x.T, 6)
                 m = min(len(keys), n + 1)
-                order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores))[:, :m]
+                order = best_columns(scores, keys, m)
                 yield pd.DataFrame({"query_id": np.repeat(np.array(names), m), key: keys[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
         part = corpus.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("k is not null").mapInPandas(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from caselode.operators.corpus import latest_wins
 
@@ -53,20 +53,61 @@ def append_missing(df: DataFrame, path: str, key: str) -> None:
     todo.write.mode("append").parquet(path)
 
 
-def upsert(df: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
-    """Idempotent upsert into a Parquet folder: per key the row of greatest order among old and new ones.
+def _pointer(spark: SparkSession, path: str):
+    """(file system, versions) of a versioned table: a version counts once its empty marker file is there."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = jvm.org.apache.hadoop.fs.Path(path, "_versions")
+    found = [int(s.getPath().getName()) for s in fs.listStatus(marks)] if fs.exists(marks) else []
+    return fs, marks, sorted(found)
+
+
+def read_versioned(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest finished version of a table written by ``upsert``; None if there is none."""
+    found = _pointer(spark, path)[2]
+    return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
 
-    The merged table is written beside the old one and swapped in by renaming.
+
+def upsert(df: DataFrame, path: str, keys: list[str], order: list[str], version: int | None = None, keep: int = 2) -> None:
+    """Idempotent upsert: per key the row of greatest ``order`` among old and new ones.
+
+    The merged table is written as a new version and becomes the current one when its marker file is created, which
+    is one atomic step: a run cut short leaves the version before it. ``version`` (an epoch of a stream) makes running
+    the same step again harmless. The last ``keep`` versions stay.
     """
     spark = df.sparkSession
-    both = spark.read.parquet(path).unionByName(df, allowMissingColumns=True) if _exists(spark, path) else df
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    latest_wins(both, keys, order).write.parquet(fresh)
-    jvm = spark._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    fs, marks, found = _pointer(spark, path)
+    if version is not None and version in found:
+        return
+    number = (found[-1] + 1 if found else 0) if version is None else version
+    both = spark.read.parquet(f"{path}/v={found[-1]}").unionByName(df, allowMissingColumns=True) if found else df
+    latest_wins(both, keys, order).write.mode("overwrite").parquet(f"{path}/v={number}")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs.create(hadoop(marks, str(number)), True).close()
+    for old in [*found, number][:-keep]:
+        fs.delete(hadoop(marks, str(old)), False)
+        fs.delete(hadoop(path, f"v={old}"), True)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts) of a CSV source with a header: rows with a value that is not of its type are counted and dropped."""
+    fields = T.StructType.fromDDL(schema).fields
+    raw = spark.read.option("header", True).schema(T.StructType([T.StructField(f.name, T.StringType()) for f in fields])).csv(path)
+    typed = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields]
+    bad = reduce(lambda a, b: a | b, [F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull() for f in fields])
+    counts = raw.agg(F.count("*").alias("read"), F.count_if(bad).alias("record_parse_error"))
+    return raw.where(~bad).select(*typed), counts
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def delete_where(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
+    """(kept, deleted): rows for which the predicate is true are deleted; where it is null they stay."""
+    gone = F.coalesce(predicate, F.lit(False))
+    return df.where(~gone), df.where(gone)
 
 
 def markdown_table(df: DataFrame, best: list[str] | None = None, limit: int = 200) -> str:

@@ -33,8 +33,27 @@ def test_append_and_upsert_can_be_repeated(spark, tmp_path):
     path = str(tmp_path / "upsert")
     for part in (df, more, more, df):
         files.upsert(part, path, ["k"], ["v"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 2), ("c", 2)]
-    assert verified_scan(spark, path, 3).count() == 3
+    assert sorted(map(tuple, files.read_versioned(spark, path).collect())) == [("a", 1), ("b", 2), ("c", 2)]
+    assert verified_scan(spark, f"{path}/v=3", 3).count() == 3
+    # a run cut short leaves a version without a marker: it does not count, and is written anew
+    df.write.parquet(f"{path}/v=4")
+    assert files.read_versioned(spark, path).count() == 3
+    files.upsert(spark.createDataFrame([("d", 9)], "k string, v int"), path, ["k"], ["v"], version=4)
+    files.upsert(spark.createDataFrame([("e", 9)], "k string, v int"), path, ["k"], ["v"], version=4)
+    assert files.read_versioned(spark, path).count() == 4
+
+
+def test_csv_and_delete(spark, tmp_path):
+    df = spark.createDataFrame([("a,b", 1), (None, 2), ('q"x', None)], "k string, v int")
+    path = str(tmp_path / "csv")
+    files.write_csv(df, path)
+    rows, counts = files.read_csv(spark, path, "k string, v int")
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr) and tuple(counts.first()) == (3, 0)
+    (tmp_path / "bad.csv").write_text("k,v\nx,1\ny,word\n")
+    rows, counts = files.read_csv(spark, str(tmp_path / "bad.csv"), "k string, v int")
+    assert [tuple(r) for r in rows.collect()] == [("x", 1)] and tuple(counts.first()) == (2, 1)
+    kept, gone = files.delete_where(df, F.col("v") > 1)
+    assert kept.count() == 2 and [r["v"] for r in gone.collect()] == [2]
 
 
 def test_report(spark):
@@ -53,3 +72,25 @@ def test_streams_equal_batch(spark, tmp_path):
     cases.repartition(4).write.parquet(str(tmp_path / "cases_clean.parquet"))
     got = {r["case_id"]: r["row_no"] for r in streams.run_upsert(spark, str(tmp_path)).collect()}
     assert got == {str(k): max(i for i in range(50) if i % 20 == k) for k in range(20)}
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    """Three files in three runs, with late and repeated rows, equal the batch over all of them."""
+    times = F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id") * 5000)  # later files hold earlier rows
+    place = {name: str(tmp_path / f"place-{name}") for name in ("windows", "dedup", "upsert", "closed")}
+    for run in range(3):
+        ids = spark.range(run * 40, run * 40 + 60)
+        ids.select(F.col("id").alias("log_id"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("c"), F.col("id") % 50)).alias("correlation_id"), times.alias("logged_at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "search_log.parquet"))
+        ids.select(F.col("id").alias("event_id"), times.alias("ts"), F.concat(F.lit("t"), F.col("id") % 3).alias("event_type")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        ids.select((F.col("id") % 20).cast("string").alias("case_id"), F.col("id").alias("row_no"), F.lit("f").alias("sex"), F.lit(run).alias("age"), F.lit("x").alias("outcome_class"), times.alias("built_at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "cases_clean.parquet"))
+        windows = streams.run_windows(spark, str(tmp_path), place["windows"])
+        once = streams.run_dedup(spark, str(tmp_path), place["dedup"])
+        latest = streams.run_upsert(spark, str(tmp_path), place["upsert"])
+        closed = streams.run_closed_windows(spark, str(tmp_path), place["closed"])
+    for name in ("events", "search_log", "cases_clean"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).createOrReplaceTempView(f"all_{name}")
+    same = lambda df, sql: sorted(map(tuple, df.collect()), key=repr) == sorted(map(tuple, spark.sql(sql).collect()), key=repr)
+    assert same(windows.select("hour", "event_type", "n"), "SELECT date_trunc('HOUR', ts), event_type, count(*) FROM all_events GROUP BY 1, 2")
+    assert same(once, "SELECT correlation_id, min(log_id) FROM all_search_log WHERE correlation_id IS NOT NULL GROUP BY 1 UNION ALL SELECT DISTINCT NULL, log_id FROM all_search_log WHERE correlation_id IS NULL")
+    assert same(latest.select("case_id", "row_no"), "SELECT case_id, max_by(row_no, struct(built_at, row_no)) FROM all_cases_clean GROUP BY 1")
+    assert 0 < closed.count() <= windows.count()
