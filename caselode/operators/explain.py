@@ -80,6 +80,22 @@ def validate(outputs: DataFrame, valid: DataFrame) -> DataFrame:
     return o.select("key", "attempt", "json", problems.alias("problems"))
 
 
+def claim_scores(outputs: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row per claim of each answer (key, attempt, raw), with the retrieval score of its case (key, case_id, score).
+
+    A case the search did not list scores 0; ``citations`` counts what the claim cites. An answer without JSON has none.
+    """
+    parsed = outputs.select("key", "attempt", F.from_json(extract_json(F.col("raw")), SCHEMA).alias("x"))
+    each = parsed.select("key", "attempt", F.posexplode("x.explanations").alias("position", "e"))
+    sections = F.array(*[F.struct(F.lit(name).alias("section"), F.col("e")[name].alias("claims")) for name in SECTIONS])
+    told = each.select("key", "attempt", "position", F.col("e.case_id").alias("case_id"), F.explode(sections).alias("s"))
+    claims = told.select("key", "attempt", "position", "case_id", "s.section", F.posexplode("s.claims").alias("claim_no", "c"))
+    found = claims.join(scores.select("key", "case_id", "score"), ["key", "case_id"], "left")
+    return found.select(
+        "key", "attempt", "position", "case_id", "section", "claim_no", F.size(F.coalesce("c.citations", F.expr("array()"))).alias("citations"), F.coalesce("score", F.lit(0.0)).alias("score")
+    )
+
+
 def first_valid(validated: DataFrame, keys: DataFrame) -> DataFrame:
     """Per key the first valid attempt; without one a degraded answer with confidence weak and model none."""
     best = validated.where(F.size("problems") == 0).groupBy("key").agg(F.min_by("json", "attempt").alias("json"), F.min("attempt").alias("attempt"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from caselode.config import DEFAULT
 
 SEXES = ("male", "female", "unknown")
 OUTCOMES = ("improved", "deteriorated", "deceased", "unknown")
@@ -20,6 +22,7 @@ class SearchFilters:
     any_of: dict[str, tuple] = field(default_factory=dict)
     prefixes: dict[str, str] = field(default_factory=dict)
     without_flags: tuple[str, ...] = ()
+    embedding_version: str = DEFAULT.embedding_version
 
     def __post_init__(self) -> None:
         if self.sex is not None and self.sex not in SEXES:
@@ -47,7 +50,35 @@ class SearchFilters:
         return reduce(lambda a, b: a & b, parts, F.lit(True))
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.where(self.predicate())
+        """Rows that match; of an index with versions only those of the one searched."""
+        found = df.where(self.predicate())
+        return found.where(F.col("embedding_version") == self.embedding_version) if "embedding_version" in df.columns else found
+
+
+def any_of(*filters: SearchFilters | Column) -> Column:
+    """True where any filter matches; null values match nothing."""
+    return reduce(lambda a, b: a | b, [_matches(f) for f in filters], F.lit(False))
+
+
+def all_of(*filters: SearchFilters | Column) -> Column:
+    return reduce(lambda a, b: a & b, [_matches(f) for f in filters], F.lit(True))
+
+
+def none_of(*filters: SearchFilters | Column) -> Column:
+    """True where no filter matches; rows whose value is null don't match a filter, and so are kept."""
+    return ~any_of(*filters)
+
+
+def _matches(f: SearchFilters | Column) -> Column:
+    return F.coalesce(f.predicate() if isinstance(f, SearchFilters) else f, F.lit(False))
+
+
+def prefer(ranked: DataFrame, wishes: list[tuple[SearchFilters | Column, float]], key: str) -> DataFrame:
+    """Soft preferences: each wish a row meets adds its weight to the score; nothing is filtered. Ties keep their rank."""
+    bonus = reduce(lambda a, b: a + b, [F.when(_matches(f), F.lit(float(w))).otherwise(0.0) for f, w in wishes], F.lit(0.0))
+    rows = ranked.withColumn("preferred", F.round(F.col("score") + bonus, 6))
+    w = Window.partitionBy("query_id").orderBy(F.desc("preferred"), "rank", key)
+    return rows.withColumn("new_rank", F.row_number().over(w))
 
 
 @dataclass(frozen=True)

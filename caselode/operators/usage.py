@@ -42,6 +42,23 @@ def as_of(events: DataFrame, versions: DataFrame, key: str, at: str, since: str,
     return e.select(ident).join(best, ident, "left")
 
 
+def audit_chain(log: DataFrame, at: str, columns: list[str]) -> DataFrame:
+    """(day, rows, sealed): a hash chain over the days of a log; a row changed, added or lost changes all later seals.
+
+    Rows are digested (SHA-256) where they lie; a day's digest is the XOR of its rows' (four parts of 60 bits) with
+    their number, which partial aggregates can form, so a day of any size is no hot group. The chain itself runs over
+    one row a day. Repeated rows cancel out in the XOR but not in the number; rows without a time are left out.
+    """
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    parts = [F.bit_xor(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("long")).alias(f"x{i}") for i in range(4)]
+    days = log.where(F.col(at).isNotNull()).select(F.date_format(at, "yyyy-MM-dd").alias("day"), digest.alias("h")).groupBy("day").agg(F.count("*").alias("rows"), *parts)
+    body = F.concat_ws("|", "day", "rows", *[f"x{i}" for i in range(4)])
+    ordered = days.agg(F.array_sort(F.collect_list(F.struct("day", "rows", body.alias("body")))).alias("d"))  # a row a day
+    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["day"].alias("day"), x["rows"].alias("rows"), F.sha2(F.concat(F.coalesce(F.element_at(acc, -1)["sealed"], F.lit("")), F.lit("|"), x["body"]), 256).alias("sealed"))))
+    start = F.expr("array(named_struct('day', CAST(NULL AS STRING), 'rows', CAST(0 AS BIGINT), 'sealed', ''))")
+    return ordered.select(F.inline(F.filter(F.aggregate("d", start, step), lambda x: x["day"].isNotNull())))
+
+
 def sessions(events: DataFrame, user: str, at: str, gap: str = "30 minutes") -> DataFrame:
     """Sessions per user: bounds and number of events. Partial sessions are merged before the shuffle ends."""
     return (

@@ -108,6 +108,11 @@ UNION ALL SELECT shape, kind, attribute, count(*) FROM leaves GROUP BY ALL""",
   FROM leaves WHERE kind = 'object' GROUP BY ALL)
 SELECT k.line_no, k.path AS node_path, k.parent AS parent_path, k.node_id, k.parent_id, k.shape, k.ordinal, coalesce(m.attributes, '{}') AS attributes
 FROM keyed k LEFT JOIN members m ON m.line_no = k.line_no AND m.path = k.path WHERE k.kind = 'object' AND k.level > 0""",
+    "p5_tables": _TREE
+    + """, members AS (SELECT line_no, path, kind, '{' || string_agg(to_json(attribute) || ':' || coalesce(to_json(value)::VARCHAR, 'null'), ',' ORDER BY attribute) || '}' AS attributes
+  FROM leaves GROUP BY ALL)
+SELECT k.line_no, k.table_name, k.kind, k.path AS node_path, k.parent AS parent_path, k.node_id, k.parent_id, k.ordinal, coalesce(m.attributes, '{}') AS attributes
+FROM keyed k LEFT JOIN members m ON m.line_no = k.line_no AND m.path = k.path AND m.kind = k.kind""",
     "p5_symptoms": _child_sql("symptoms", {c: (c.replace("_", " "),) for c in ("intensity_of_symptom", "location", "name_of_symptom", "time", "value")}),
     "p5_treatments": _child_sql("treatments", {c: (c.replace("_", " "),) for c in ("doses", "name", "related_condition", "value")}),
     "p5_doses": _child_sql("treatments/doses", {c: (c,) for c in ("amount", "taken", "unit")}),

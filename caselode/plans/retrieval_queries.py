@@ -191,6 +191,13 @@ SELECT query_id, doc_id, score, rank, coalesce(substring(text, 1, 300), '') AS s
 """
 
 
+HYBRID_FULL = (
+    HYBRID.replace("WITH c AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),", "WITH c AS (SELECT doc_id, text FROM documents), x AS (SELECT vec_id AS doc_id, embedding FROM embeddings),")
+    .replace(f"FROM c q, c e WHERE q.doc_id % {EVERY} = 0)", f"FROM x q JOIN documents USING (doc_id), x e WHERE q.doc_id % {EVERY} = 0)")
+    .replace("SELECT q.doc_id AS query_id, e.doc_id,", "SELECT q.doc_id AS query_id, e.doc_id AS doc_id,")
+)
+
+
 def _logits(spark: SparkSession, d: str) -> DataFrame:
     """Relevance logged for a query and case stands in for a reranker's logit."""
     return table(spark, d, "search_log").where("top_case_id is not null").groupBy("query_id", F.col("top_case_id").alias("case_id")).agg(F.max("top_score").alias("logit"))
@@ -270,6 +277,13 @@ def metrics_by_mode_full(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.metrics(evaluate.hit_ranks(_gold(spark, d), _modes(spark, d, full=True), "case_id", by=("mode",)), ("mode",))
 
 
+def ablation_table(spark: SparkSession, d: str) -> DataFrame:
+    """The ablation as a table: one row per metric, the modes as columns, and the best value."""
+    modes = ["document", "note", "rrf", "rrf_50", "weighted", "rerank"]
+    long = metrics_by_mode_full(spark, d).unpivot("mode", ["recall_1", "recall_5", "recall_10", "mrr_10", "ndcg_10"], "metric", "value")
+    return long.groupBy("metric").pivot("mode", modes).agg(F.first("value")).withColumn("best", F.greatest(*modes))
+
+
 def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
     doc, note = (cut_lineage(x) for x in _lists(spark, d))
     alphas = F.broadcast(spark.createDataFrame([(x,) for x in (0.3, 0.4, 0.5, 0.6, 0.7)], "alpha double"))  # five settings
@@ -293,7 +307,7 @@ def depth_beta_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def depth_beta_sweep_full(spark: SparkSession, d: str) -> DataFrame:
-    """The whole grid: also depth 100, all of the pool."""
+    """The whole grid: also depth 100, all of the pool; at beta 1 that is the order of the reranker alone."""
     return _depth_beta(spark, d, (10, 15, 20, 30, 50, 100))
 
 
@@ -325,6 +339,8 @@ hits AS (SELECT mode, query_id, min(rank) AS hit FROM ranked JOIN rel USING (que
 every AS (SELECT DISTINCT mode, g.query_id FROM ranked, gold_queries g)
 SELECT mode, {_METRICS_SQL} FROM every LEFT JOIN hits USING (mode, query_id) GROUP BY mode
 """
+_RRF50_SQL = _RRF_SQL.replace("rrf0", "rrf50_0").replace("rrf AS", "rrf50 AS").replace("FROM doc dn FULL JOIN note sn", "FROM (SELECT * FROM doc WHERE rank <= 50) dn FULL JOIN (SELECT * FROM note WHERE rank <= 50) sn")
+METRICS_FULL = METRICS_BY_MODE.replace(f"{_RRF_SQL}, {_LAST_SQL}", f"{_RRF_SQL}, {_RRF50_SQL}, {_LAST_SQL}").replace("UNION ALL SELECT 'rerank'", "UNION ALL SELECT 'rrf_50', query_id, case_id, rank FROM rrf50 UNION ALL SELECT 'rerank'")
 ALPHA_SWEEP = f"""{_NORMED_SQL}, {_LAST_SQL},
 a AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7])::DOUBLE AS alpha),
 f0 AS (SELECT alpha, query_id, case_id, d_rank, s_rank, round(alpha * coalesce(d, 0.0) + (1 - alpha) * coalesce(s, 0.0), 4) AS score FROM both_n, a),
@@ -352,7 +368,7 @@ QUERIES = {
     for f in (
         dense_topk, dense_knn_batch, dense_ann, facet_scores, sparse_topk, filter_conjunctive, minmax_norm, fusion_weighted, fusion_rrf, fusion_overlap,
         saved_search_changes, hybrid_search, hybrid_search_full, rerank_blend, rerank_depth_blend, rerank_failsoft, confidence_labels, cohort_outcomes,
-        metrics_by_mode, metrics_by_mode_full, alpha_sweep, depth_beta_sweep, depth_beta_sweep_full, pool_ceiling,
+        metrics_by_mode, metrics_by_mode_full, ablation_table, alpha_sweep, depth_beta_sweep, depth_beta_sweep_full, pool_ceiling,
     )
 }
 ORACLE = {
@@ -371,6 +387,7 @@ ORACLE = {
     "saved_search_changes": f"""{_TWO_SQL} SELECT query_id, case_id FROM doc WHERE rank <= 10
         AND (query_id, case_id) NOT IN (SELECT query_id, case_id FROM note WHERE rank <= 10)""",
     "hybrid_search": HYBRID,
+    "hybrid_search_full": HYBRID_FULL,
     "rerank_blend": _rerank_sql(50, 50, 0.9, "query_id, case_id, blend, new_rank, reranked"),
     "rerank_depth_blend": _rerank_sql(100, 20, 0.6, "query_id, case_id, blend, new_rank"),
     "rerank_failsoft": _rerank_sql(30, 30, 0.9, "query_id, case_id, blend, new_rank, reranked", "query_id < 'gq-030'"),
@@ -382,7 +399,13 @@ ORACLE = {
         SELECT query_id, outcome, cases, round(cases / sum(cases) OVER (PARTITION BY query_id), 4) AS share FROM c""",
     "metrics_by_mode": METRICS_BY_MODE,
     "alpha_sweep": ALPHA_SWEEP,
+    "metrics_by_mode_full": METRICS_FULL,
+    "ablation_table": f"""WITH m AS ({METRICS_FULL}), u AS (UNPIVOT (SELECT mode, recall_1, recall_5, recall_10, mrr_10, ndcg_10 FROM m) ON recall_1, recall_5, recall_10, mrr_10, ndcg_10 INTO NAME metric VALUE value),
+        w AS (SELECT metric, """
+    + ", ".join(f"max(CASE WHEN mode = '{m}' THEN value END) AS {m}" for m in ("document", "note", "rrf", "rrf_50", "weighted", "rerank"))
+    + """ FROM u GROUP BY metric) SELECT *, greatest(document, note, rrf, rrf_50, weighted, rerank) AS best FROM w""",
     "depth_beta_sweep": DEPTH_BETA_SWEEP,
+    "depth_beta_sweep_full": DEPTH_BETA_SWEEP.replace("[10, 15, 20, 30, 50]", "[10, 15, 20, 30, 50, 100]"),
     "pool_ceiling": f"""{_FUSED_SQL}, {_LAST_SQL} SELECT count(*) AS queries, count(*) FILTER (hit) AS found, round(avg(hit::INT), 4) AS recall_100
         FROM (SELECT g.query_id, bool_or(f.case_id IS NOT NULL) AS hit FROM gold_queries g LEFT JOIN rel USING (query_id)
               LEFT JOIN fused f ON f.query_id = g.query_id AND f.case_id = rel.case_id AND f.rank <= 100 GROUP BY g.query_id)""",

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from caselode.functions import json_repair, text as T
-from caselode.operators import corpus, explain, fusion, negation, nested, usage
+from caselode.operators import corpus, explain, filters, fusion, negation, nested, usage
+from caselode.operators.filters import SearchFilters
 from caselode.plans import nested_queries as N, retrieval_queries as R
+from caselode.sources import files
 from caselode.sources.tables import table
 
 
@@ -258,7 +260,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     five = F.row_number().over(Window.partitionBy("query_id", "profile").orderBy(F.desc("n"), "top_case_id"))  # 1..5 cases are explained at once
     top = counts.withColumn("r", five).where("r <= 5")
     log = top.groupBy("query_id", "profile").agg(F.sort_array(F.collect_list("top_case_id")).alias("ids"))
-    claim = lambda c: F.array(F.struct(F.lit("same course").alias("detail"), F.slice(F.array(c), 1, F.when(F.crc32(c) % 5 == 0, 0).otherwise(1).cast("int")).alias("citations")))
+    claim = lambda c: F.array(F.struct(F.lit("same course").alias("detail"), F.slice(F.array(c), 1, F.when(F.substring(F.md5(c), 1, 1).isin("0", "1", "2"), 0).otherwise(1)).alias("citations")))
     body = F.to_json(F.struct(F.transform("ids", lambda c: F.struct(c.alias("case_id"), claim(c).alias("differences"), F.lit("weak").alias("confidence"))).alias("explanations")))
     return log.select(F.col("query_id").alias("key"), F.when(F.col("profile") == "fast", 1).otherwise(2).alias("attempt"), F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("raw"))
 
@@ -275,6 +277,44 @@ def explain_fallback(spark: SparkSession, d: str) -> DataFrame:
     return explain.first_valid(explain.validate(_answers(spark, d), top), keys).select("key", "attempt", "degraded", "confidence")
 
 
+def claim_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every claim of the answers with the score its case had in the search."""
+    top = R._branch(spark, d, "document", 100).select(F.col("query_id").alias("key"), "case_id", "score")
+    return explain.claim_scores(_answers(spark, d), top)
+
+
+def audit_chain(spark: SparkSession, d: str) -> DataFrame:
+    return usage.audit_chain(table(spark, d, "search_log"), "logged_at", ["log_id", "correlation_id", "query_id", "k"])
+
+
+def filter_or_not(spark: SparkSession, d: str) -> DataFrame:
+    """Women of 60 and over or anybody deceased, without those whose case has a quality flag."""
+    wanted = filters.any_of(SearchFilters(sex="female", age_min=60), SearchFilters(outcome_class="deceased"))
+    cases = table(spark, d, "cases_clean").where(filters.all_of(wanted, filters.none_of(F.size("quality_flags") > 0)))
+    return cases.select("row_no", "sex", "age", "outcome_class")
+
+
+def filter_version(spark: SparkSession, d: str) -> DataFrame:
+    """Matches in the searched version of an index; here versions stand for the parity of the month a case was built in."""
+    cases = R.latest_cases(spark, d).withColumn("embedding_version", F.when(F.month("built_at") % 2 == 0, "lex-v1").otherwise("lex-v0"))
+    return SearchFilters(sex="female").apply(cases).groupBy("embedding_version", "age").agg(F.count("*").alias("cases"))
+
+
+def soft_preferences(spark: SparkSession, d: str) -> DataFrame:
+    """Thirty candidates of each query, those of women and of the old moved up, none left out."""
+    known = R.latest_cases(spark, d).select("case_id", "sex", "age")
+    pool = R._pool(spark, d, 30).join(known, "case_id")
+    wishes = [(SearchFilters(sex="female"), 0.1), (SearchFilters(age_min=60), 0.05)]
+    return filters.prefer(pool, wishes, "case_id").select("query_id", "case_id", "preferred", "new_rank")
+
+
+def delete_by_filter(spark: SparkSession, d: str) -> DataFrame:
+    """What is left and what goes when the deceased of a known age under 40 are deleted."""
+    parts = files.delete_where(table(spark, d, "cases_clean"), SearchFilters(outcome_class="deceased", age_max=39).predicate())
+    both = parts[0].withColumn("deleted", F.lit(False)).unionByName(parts[1].withColumn("deleted", F.lit(True)))
+    return both.groupBy("deleted", "age_band").agg(F.count("*").alias("cases"))
+
+
 def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     """Cache key of every logged search whose top case would be explained."""
     log = table(spark, d, "search_log").where("top_case_id is not null").select("log_id", "query_id", F.array("top_case_id").alias("ids"))
@@ -376,7 +416,37 @@ adj AS (SELECT query_id, case_id, score, rank, CASE WHEN conflicts > 0 THEN roun
 SELECT query_id, case_id, score, adjusted, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, rank, case_id) AS new_rank, flags FROM adj QUALIFY new_rank <= 10"""
 
 
+_ANSWERS_SQL = """
+an AS (SELECT query_id AS key, CASE WHEN profile = 'fast' THEN 1 ELSE 2 END AS attempt, top_case_id AS case_id
+  FROM (SELECT query_id, profile, top_case_id, count(*) AS n FROM search_log WHERE top_case_id IS NOT NULL GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY query_id, profile ORDER BY n DESC, top_case_id) <= 5),
+claims AS (SELECT *, CASE WHEN substring(md5(case_id), 1, 1) IN ('0', '1', '2') THEN 0 ELSE 1 END AS cites FROM an)"""
+_VALIDATED_SQL = f"""WITH {R._CASES_SQL}, {R._branch_sql('doc', 'document')}, {_ANSWERS_SQL},
+    j AS (SELECT key, attempt, bool_or(doc.case_id IS NULL) AS unknown, bool_or(cites = 0) AS uncited, bool_or(cites = 1 AND doc.case_id IS NULL) AS bad
+      FROM claims LEFT JOIN doc ON doc.query_id = key AND doc.case_id = claims.case_id GROUP BY key, attempt),
+    v AS (SELECT key, attempt, concat_ws(',', CASE WHEN unknown THEN 'unknown_case' END, CASE WHEN uncited THEN 'uncited_claim' END, CASE WHEN bad THEN 'bad_citation' END) AS problems FROM j)"""
+_CHAIN_SQL = """WITH RECURSIVE r AS (SELECT strftime(logged_at, '%Y-%m-%d') AS day,
+      sha256('{"log_id":' || log_id || ',"correlation_id":' || coalesce(to_json(correlation_id)::VARCHAR, 'null') || ',"query_id":' || coalesce(to_json(query_id)::VARCHAR, 'null') || ',"k":' || coalesce(k::VARCHAR, 'null') || '}') AS h
+      FROM search_log WHERE logged_at IS NOT NULL),
+    x AS (SELECT day, count(*) AS rows, bit_xor(('0x' || substring(h, 1, 15))::BIGINT) AS a, bit_xor(('0x' || substring(h, 16, 15))::BIGINT) AS b, bit_xor(('0x' || substring(h, 31, 15))::BIGINT) AS c,
+      bit_xor(('0x' || substring(h, 46, 15))::BIGINT) AS d, row_number() OVER (ORDER BY day) AS i FROM r GROUP BY day),
+    s AS (SELECT i, day, rows, sha256('|' || concat_ws('|', day, rows, a, b, c, d)) AS sealed FROM x WHERE i = 1
+      UNION ALL SELECT x.i, x.day, x.rows, sha256(s.sealed || '|' || concat_ws('|', x.day, x.rows, x.a, x.b, x.c, x.d)) FROM s JOIN x ON x.i = s.i + 1)
+    SELECT day, rows, sealed FROM s"""
 ORACLE = {
+    "explain_validate": f"{_VALIDATED_SQL} SELECT key, attempt, problems FROM v",
+    "explain_fallback": f"""{_VALIDATED_SQL}, b AS (SELECT key, min(attempt) AS attempt FROM v WHERE problems = '' GROUP BY key)
+        SELECT query_id AS key, attempt, attempt IS NULL AS degraded, CASE WHEN attempt IS NULL THEN 'weak' END AS confidence FROM (SELECT DISTINCT query_id FROM gold_queries) LEFT JOIN b ON key = query_id""",
+    "claim_scores": f"""WITH {R._CASES_SQL}, {R._branch_sql('doc', 'document')}, {_ANSWERS_SQL}
+        SELECT key, attempt, row_number() OVER (PARTITION BY key, attempt ORDER BY c.case_id) - 1 AS position, c.case_id, 'differences' AS section, 0 AS claim_no, cites AS citations, coalesce(score, 0.0) AS score
+        FROM claims c LEFT JOIN doc ON doc.query_id = key AND doc.case_id = c.case_id""",
+    "audit_chain": _CHAIN_SQL,
+    "filter_or_not": """SELECT row_no, sex, age, outcome_class FROM cases_clean
+        WHERE coalesce((sex = 'female' AND age >= 60) OR outcome_class = 'deceased', false) AND NOT coalesce(len(quality_flags) > 0, false)""",
+    "filter_version": f"WITH {R._CASES_SQL} SELECT 'lex-v1' AS embedding_version, age, count(*) AS cases FROM cases WHERE sex = 'female' AND month(built_at) % 2 = 0 GROUP BY age",
+    "soft_preferences": f"""{R._FUSED_SQL}, p AS (SELECT query_id, case_id, rank, round(score + CASE WHEN sex = 'female' THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN age >= 60 THEN 0.05::DOUBLE ELSE 0 END, 6) AS preferred
+        FROM fused JOIN cases USING (case_id) WHERE rank <= 30) SELECT query_id, case_id, preferred, row_number() OVER (PARTITION BY query_id ORDER BY preferred DESC, rank, case_id) AS new_rank FROM p""",
+    "delete_by_filter": "SELECT coalesce(outcome_class = 'deceased' AND age <= 39, false) AS deleted, age_band, count(*) AS cases FROM cases_clean GROUP BY ALL",
     "log_dedup": f"SELECT log_id, correlation_id, query_id, k FROM {_LOG1}",
     "usage_daily": f"""SELECT strftime(requested_at, '%Y-%m-%d') AS day, profile, count(*) AS requests, count(*) FILTER (top_case_id IS NULL) AS empty,
         count(DISTINCT query_id) AS queries FROM {_LOG1} GROUP BY ALL""",
@@ -487,6 +557,6 @@ QUERIES = {
         source_late_rows, lab_trends, event_windows, event_sessions, budget_packing, pricing_summary, nation_revenue, top_orders,
         negated_scopes, negated_spans, negation_triggers, negation_parse_query, search_fast, search_thorough, match_labels,
         explain_context, explain_prompt, explain_validate, explain_fallback, citation_validity, cache_keys, summary_status, summary_checks, summary_leaves,
-        mean_latency, query_acceptance, document_polarity, index_health, precision_by_month, term_statuses,
+        claim_scores, audit_chain, filter_or_not, filter_version, soft_preferences, delete_by_filter, mean_latency, query_acceptance, document_polarity, index_health, precision_by_month, term_statuses,
     )
 }
