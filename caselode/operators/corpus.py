@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselode.config import DEFAULT, EngineConfig
 from caselode.functions import json_repair, text as T
-from caselode.operators.skew import SALTS, salt_of
+from caselode.session import cut_lineage
 
 
 MAX_STRATA = 100_000
@@ -112,24 +112,30 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, size: int, see
     """A deterministic sample of ``size`` rows in proportion to the strata.
 
     Quota of a stratum: round(size x n / N), half to even, at most n (with ``at_least_one`` at least 1). Order in a
-    stratum: hash of key and seed. Missing rows are topped up and surplus ones cut in hash order. A stratum is first
-    cut to its quota in parts, so no task sorts a whole stratum. Keys are taken as unique.
-    Quotas are broadcast; more than MAX_STRATA strata raise ValueError.
+    stratum: hash of key and seed. Missing rows are topped up and surplus ones cut in hash order. Keys are taken as
+    unique. Rows whose hash lies beyond a threshold set by the quota never leave their scan, so no stratum is sorted as
+    a whole; should a threshold have let too few rows through, it is raised. Quotas are broadcast; more than MAX_STRATA
+    strata raise ValueError.
     """
-    rows = df.withColumn("_h", F.sha2(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))), 256))
-    counts = df.groupBy(*strata).agg(F.count("*").alias("_n"))
-    if counts.limit(MAX_STRATA + 1).count() > MAX_STRATA:
+    counts = cut_lineage(df.groupBy(*strata).agg(F.count("*").alias("_n")).limit(MAX_STRATA + 1))
+    total = counts.agg(F.count("*").alias("strata"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    if total["strata"] > MAX_STRATA:
         raise ValueError(f"over {MAX_STRATA} strata")
-    total = counts.agg(F.sum("_n").alias("_all"))
-    quota = F.least(F.bround(F.lit(size) * F.col("_n") / F.col("_all")), F.col("_n")).cast("long")
-    if at_least_one:
-        quota = F.greatest(F.lit(1), quota)
-    quotas = counts.crossJoin(F.broadcast(total)).withColumn("_q", quota)  # one row of totals
+    quota = F.least(F.bround(F.lit(size) * F.col("_n") / F.lit(max(total["rows"], 1))), F.col("_n")).cast("long")
+    quotas = counts.withColumn("_q", F.greatest(F.lit(1), quota) if at_least_one else quota)
+    missing = max(0, size - (quotas.agg(F.sum("_q")).first()[0] or 0))  # what the top-up takes at most of one stratum
+    quotas = quotas.withColumn("_need", F.least(F.col("_q") + missing, F.col("_n")))
+    rows = df.withColumn("_h", F.sha2(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))), 256))
     on = [F.col(f"r.{s}").eqNullSafe(F.col(f"q.{s}")) for s in strata]
-    joined = rows.alias("r").join(F.broadcast(quotas.alias("q")), on).select("r.*", "q._q")
-    # rows beyond quota + size in a part can't be taken even by the top-up
-    part = Window.partitionBy(*strata, "_salt").orderBy("_h", key)
-    some = joined.withColumn("_salt", salt_of("_h", salts=SALTS)).withColumn("_p", F.row_number().over(part)).where(F.col("_p") <= F.col("_q") + size)
+    joined = rows.alias("r").join(F.broadcast(quotas.alias("q")), on).select("r.*", "q._q", "q._n", "q._need")
+    place = F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    room, short = 1.5, True
+    while short:
+        some = cut_lineage(joined.where(place < (F.col("_need") * room + 30) / F.col("_n")))
+        passed = some.groupBy("_n", "_need", *strata).agg(F.count("*").alias("_c")).where("_c < _need")
+        empty = quotas.join(some.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)]).distinct(), [F.col(s).eqNullSafe(F.col(f"_s{i}")) for i, s in enumerate(strata)], "left_anti").where("_need > 0")
+        short = passed.limit(1).count() + empty.limit(1).count() > 0
+        room *= 4
     ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy("_h", key)))
     taken = ranked.withColumn("_extra", F.col("_r") > F.col("_q"))
     return taken.orderBy("_extra", "_h", key).limit(size).select(*df.columns)
