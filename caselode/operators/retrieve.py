@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselode.functions.text import tokens
-from caselode.operators.skew import salted_join
+from caselode.operators.skew import broadcast_if_small, salted_join
+from caselode.session import cut_lineage
 
 QUERY_BLOCK = 2000
 
@@ -28,7 +29,10 @@ def usual_length(df: DataFrame, vector: str) -> int:
 
 
 def best_columns(scores: np.ndarray, keys: np.ndarray, m: int) -> np.ndarray:
-    """Per row the places of the ``m`` best columns, best first, ties by key: only what reaches the m-th best is sorted."""
+    """Per row the places of the ``m`` best columns, best first, ties by key: only what reaches the m-th best is sorted.
+
+    Scores are numbers; what has none is given as minus infinity.
+    """
     if m >= scores.shape[1]:
         return np.lexsort((np.broadcast_to(keys, scores.shape), -scores))
     limit = -np.partition(-scores, m - 1, axis=1)[:, m - 1]
@@ -68,7 +72,7 @@ def dense_topn(corpus: DataFrame, queries: DataFrame, n: int, key: str = "vec_id
                     continue
                 keys = batch["k"].to_numpy()[keep]
                 x = _unit(np.vstack(batch["v"].to_numpy()[keep]).astype(np.float64))
-                scores = np.round(q @ x.T, 6)
+                scores = np.nan_to_num(np.round(q @ x.T, 6), nan=-np.inf)
                 m = min(len(keys), n + 1)
                 order = best_columns(scores, keys, m)
                 yield pd.DataFrame({"query_id": np.repeat(np.array(names), m), key: keys[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
@@ -77,7 +81,7 @@ def dense_topn(corpus: DataFrame, queries: DataFrame, n: int, key: str = "vec_id
             run, f"query_id {qkind}, `{key}` {kind}, score double"
         )
         found = part if found is None else found.unionByName(part)
-    found = found.where("not isnan(score)")
+    found = found.where("score >= -1.5")
     if skip_self:
         found = found.where(F.col("query_id") != F.col(key))
     return top_per_query(found, n, [F.desc("score"), F.col(key)])
@@ -126,6 +130,73 @@ def sparse_topn(corpus: DataFrame, key: str, text: str, queries: DataFrame, quer
     return top_per_query(scored, n, [F.desc("score"), F.col(key)])
 
 
+def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf, len): how often each word stands in each text. Laid out by text and sorted by term when written
+    with ``laid_out``, so that a query reads only the row groups of its terms and adds up a text's words in one place."""
+    words = corpus.select(F.col(key), tokens(F.col(text)).alias("w"))
+    each = words.select(key, F.size("w").alias("len"), F.explode_outer("w").alias("term")).where("term is not null")
+    return each.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+
+
+def laid_out(index: DataFrame, key: str) -> DataFrame:
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, index.rdd.getNumPartitions())
+    return index.repartition(parts, key).sortWithinPartitions("term", key)
+
+
+def term_stats(index: DataFrame) -> DataFrame:
+    """(term, df, top): in how many texts a term stands, and the most one occurrence of it in a query can add to a score."""
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.max(F.col("tf") / F.sqrt("len")).alias("top"))
+
+
+PRUNE_HITS = 20_000_000
+_SLACK = 2e-6  # scores are rounded to six digits
+
+
+def postings_topn(index: DataFrame, stats: DataFrame, key: str, terms: DataFrame, n: int, within: DataFrame | None = None, prune_hits: int = PRUNE_HITS) -> DataFrame:
+    """Exact top ``n`` texts of each query over a postings table: query_id, key, score (6 digits), rank. Ties: the smaller key.
+
+    terms: (query_id, term, qtf); ``within`` limits the texts to some keys. Where the queries' words stand in very many
+    texts (over ``prune_hits`` query-term-text hits) words that nearly every text has are not counted out: the n-th best
+    score from the rare words of a query is a bound; common words whose greatest contributions together stay
+    below it can't bring a text into the list, so only texts with some other word are candidates, and only theirs
+    are completed. The result is the same.
+    """
+    index = index.join(within.select(key), key, "left_semi") if within is not None else index
+    known = terms.join(broadcast_if_small(stats), "term") if prune_hits <= 0 else terms.join(stats, "term")
+    hits = known.agg(F.sum("df")).first()[0] or 0
+    if hits <= prune_hits:
+        sums = _dots(index, key, terms)
+        return top_per_query(sums.select("query_id", key, F.round(F.col("dot") / F.sqrt("len"), 6).alias("score")), n, [F.desc("score"), F.col(key)])
+    # one row per query and term from here on
+    known = cut_lineage(known.select("query_id", "term", "qtf", "df", (F.col("qtf") * F.col("top")).alias("most")))
+    by = Window.partitionBy("query_id")
+    rarest = known.withColumn("at", F.row_number().over(by.orderBy("df", "term"))).withColumn("all", F.count("*").over(by))
+    first = _dots(index, key, rarest.where("at <= ceil(all / 3)").select("query_id", "term", "qtf"))
+    first = top_per_query(first.select("query_id", key, F.round(F.col("dot") / F.sqrt("len"), 6).alias("score")), n, [F.desc("score"), F.col(key)])
+    bound = first.where(F.col("rank") == n).select("query_id", F.col("score").alias("bound"))
+    common = known.withColumn("upto", F.sum("most").over(by.orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)))
+    split = cut_lineage(
+        common.join(bound, "query_id", "left").withColumn("needed", F.coalesce(F.col("upto") + _SLACK >= F.col("bound"), F.lit(True)))
+    )
+    slack = split.groupBy("query_id").agg(F.coalesce(F.max(F.when(~F.col("needed"), F.col("upto"))), F.lit(0.0)).alias("slack"), F.coalesce(F.first("bound"), F.lit(0.0)).alias("bound"))
+    some = _dots(index, key, split.where("needed").select("query_id", "term", "qtf")).join(broadcast_if_small(slack), "query_id")
+    some = some.where(F.col("dot") / F.sqrt("len") + F.col("slack") + _SLACK >= F.col("bound")).select("query_id", key, "len", "dot")
+    some = cut_lineage(some)
+    rest = split.where("not needed").select("query_id", "term", "qtf")
+    words = index.join(broadcast_if_small(rest.select("term").distinct()), "term", "left_semi").select(key, "term", "tf")
+    more = some.select("query_id", key).join(words, key).join(broadcast_if_small(rest), ["query_id", "term"])
+    more = more.groupBy("query_id", key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("more"))
+    whole = some.join(more, ["query_id", key], "left").withColumn("dot", F.col("dot") + F.coalesce("more", F.lit(0)))
+    return top_per_query(whole.select("query_id", key, F.round(F.col("dot") / F.sqrt("len"), 6).alias("score")), n, [F.desc("score"), F.col(key)])
+
+
+def _dots(index: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """(query_id, key, len, dot) over the texts that hold any of the terms."""
+    small = broadcast_if_small(terms, BROADCAST_TERMS)
+    joined = index.join(small, "term") if small is not terms else salted_join(index, terms, ["term"], [key])
+    return joined.groupBy("query_id", key, "len").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
+
+
 def sparse_topn_blocks(corpus: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, n: int) -> DataFrame:
     """``sparse_topn`` for many long queries: each partition passes on its n best texts of a query, not all pairs.
 

@@ -12,6 +12,7 @@ from caselode.operators import ann, corpus, evaluate, fusion, retrieve
 from caselode.operators.filters import SearchFilters
 from caselode.operators.skew import spread
 from caselode.session import cut_lineage
+from caselode.sources import files
 from caselode.sources.tables import table
 
 EVERY = 50  # ids divisible by this are the stated query set
@@ -26,11 +27,31 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gold_queries").select("query_id", "query", F.col("relevant_case_ids").alias("relevant"))
 
 
+def _postings(spark: SparkSession, d: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Postings of the latest version of every case, and their term statistics; written once for the given tables."""
+    source = f"{d}/cases_clean.parquet"
+
+    def build() -> DataFrame:
+        cases = spread(table(spark, d, "cases_clean").select("case_id", "row_no", "built_at", text))
+        return retrieve.laid_out(retrieve.postings(corpus.latest_rows(cases, "case_id", "built_at", "row_no"), "case_id", text), "case_id")
+
+    index = files.stored_table(spark, f"postings-{text}", [source], build)
+    return index, files.stored_table(spark, f"terms-{text}", [source], lambda: retrieve.term_stats(index))
+
+
+def retrieval_index(spark: SparkSession, d: str) -> DataFrame:
+    """Builds the postings of both texts, where they aren't there yet; how many terms and postings they have."""
+    parts = None
+    for text in ("document", "reference_note"):
+        part = _postings(spark, d, text)[1].agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.max("df").alias("most")).withColumn("field", F.lit(text))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 def _branch(spark: SparkSession, d: str, text: str, n: int = 100, filters: SearchFilters | None = None) -> DataFrame:
-    columns = ["case_id", "row_no", "built_at", text, *(["sex", "age", "outcome_class"] if filters else [])]
-    cases = corpus.latest_rows(spread(table(spark, d, "cases_clean").select(columns)), "case_id", "built_at", "row_no")
-    cases = filters.apply(cases) if filters else cases
-    return retrieve.sparse_topn(cases, "case_id", text, _gold(spark, d), "query_id", "query", n)
+    index, stats = _postings(spark, d, text)
+    within = filters.apply(latest_cases(spark, d).where("case_id is not null")).select("case_id") if filters else None
+    return retrieve.postings_topn(index, stats, "case_id", retrieve.query_terms(_gold(spark, d), "query_id", "query"), n, within)
 
 
 _CASES_SQL = """
@@ -366,12 +387,15 @@ SELECT *, row_number() OVER (ORDER BY ndcg_10 DESC, depth, beta) = 1 AS best FRO
 QUERIES = {
     f.__name__: f
     for f in (
-        dense_topk, dense_knn_batch, dense_ann, facet_scores, sparse_topk, filter_conjunctive, minmax_norm, fusion_weighted, fusion_rrf, fusion_overlap,
+        retrieval_index, dense_topk, dense_knn_batch, dense_ann, facet_scores, sparse_topk, filter_conjunctive, minmax_norm, fusion_weighted, fusion_rrf, fusion_overlap,
         saved_search_changes, hybrid_search, hybrid_search_full, rerank_blend, rerank_depth_blend, rerank_failsoft, confidence_labels, cohort_outcomes,
         metrics_by_mode, metrics_by_mode_full, ablation_table, alpha_sweep, depth_beta_sweep, depth_beta_sweep_full, pool_ceiling,
     )
 }
 ORACLE = {
+    "retrieval_index": f"WITH {_CASES_SQL}, "
+    + "e AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS field, case_id, unnest(regexp_extract_all(lower({c}), '\\p{{L}}{{2,}}')) AS term FROM cases" for c in ("document", "reference_note"))
+    + "), s AS (SELECT field, term, count(*) AS df FROM e GROUP BY ALL) SELECT field, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, max(df) AS most FROM s GROUP BY field",
     "dense_topk": _dense_sql(10),
     "dense_knn_batch": _dense_sql(5, "AND q.vec_id <> e.vec_id"),
     "sparse_topk": f"WITH {_CASES_SQL}, {_branch_sql('doc', 'document', 10)} SELECT * FROM doc",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from caselode.operators.corpus import latest_wins
+from caselode.session import ensure_checkpoint_dir
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -110,6 +113,27 @@ def delete_where(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame
     return df.where(~gone), df.where(gone)
 
 
+def stored_table(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, built once and read again while its inputs stay the same.
+
+    It lies beside the checkpoints under its name and a digest of the inputs' file names, sizes and times; what a
+    build cut short has left has no success mark and is written anew.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    seen = []
+    for path in inputs:
+        fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        listed = fs.listFiles(hadoop(path), True)
+        while listed.hasNext():
+            one = listed.next()
+            seen.append(f"{one.getPath()} {one.getLen()} {one.getModificationTime()}")
+    digest = hashlib.blake2b("\n".join(sorted(seen)).encode(), digest_size=12).hexdigest()
+    path = f"{ensure_checkpoint_dir(spark)}/stored/{name}-{digest}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def markdown_table(df: DataFrame, best: list[str] | None = None, limit: int = 200) -> str:
     """A small result as a Markdown table; in columns named in ``best`` the greatest value is bold."""
     rows = df.limit(limit).collect()

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import re
 
 import pytest
@@ -114,6 +115,32 @@ def test_sparse(spark):
     assert got == [(1, 1, round(5 / 3**0.5, 6)), (2, 2, 1.0)]
 
 
+def test_postings_equal_the_plain_scores_with_and_without_pruning(spark):
+    r = random.Random(8)
+    common, rare = ["the", "of", "and", "was"], [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)]
+    docs = [(i, " ".join(r.choices(common, k=r.randint(0, 12)) + r.choices(rare, k=r.randint(0, 9)))) for i in range(400)] + [(900, None), (901, "")]
+    queries = [(f"q{i}", " ".join(r.choices(common, k=4) + r.choices(rare, k=i % 6))) for i in range(14)] + [("none", "zzz"), ("null", None)]
+    df, q = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(queries, "query_id string, query string")
+    index = retrieve.postings(df, "id", "t")
+    terms = retrieve.query_terms(q, "query_id", "query")
+    want = rows(retrieve.sparse_topn(df, "id", "t", q, "query_id", "query", 7), "query_id", "rank", "id", "score")
+    for limit in (10**9, 0):
+        got = retrieve.postings_topn(index, retrieve.term_stats(index), "id", terms, 7, prune_hits=limit)
+        assert rows(got, "query_id", "rank", "id", "score") == want
+    few = df.where("id % 3 = 0")
+    want = rows(retrieve.sparse_topn(few, "id", "t", q, "query_id", "query", 7), "query_id", "rank", "id", "score")
+    got = retrieve.postings_topn(index, retrieve.term_stats(index), "id", terms, 7, few.select("id"), prune_hits=0)
+    assert rows(got, "query_id", "rank", "id", "score") == want
+
+
+def test_odd_vectors_have_no_say(spark):
+    vectors = [(i, [float(i % 5 + 1), float(i % 3), 1.0]) for i in range(60)] + [(100, [1.0] * 9), (101, None), (102, [0.0] * 3), (103, [])]
+    e = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {r["query_id"] for r in retrieve.dense_topn(e, e.where("vec_id % 10 = 0 or vec_id > 99"), 3).collect()}
+    assert got == {0, 10, 20, 30, 40, 50}
+    assert retrieve.dense_topn(e.where("vec_id = 101"), e, 3).count() == 0
+
+
 def char_by_char(text):
     """For each character: does it lie in a scope? Read off the rule, character by character."""
     low, inside = text.lower(), [False] * len(text)
