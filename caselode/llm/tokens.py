@@ -56,6 +56,12 @@ class SpeculativeBpe:
         self.exact = self.seen = 0
         self._pair_tables()
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "words": self.words.pattern, "cache": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update({**state, "words": regex.compile(state["words"])})
+
     def _pair_tables(self) -> None:
         """For each token the two tokens it was merged from (itself, if a single byte), and all merges by pair."""
         left, right = np.arange(self.size), np.arange(self.size)
@@ -194,15 +200,15 @@ class SpeculativeBpe:
 
 
 def encoder(name: str = "byte_bpe_50k", folder: str | None = None) -> Callable[[Column], Column]:
-    """A column function text -> array<int>. The vocabulary file (a fixed 1 MB) is read on the driver and sent along."""
+    """A column function text -> array<int>. The vocabulary file (a fixed 1 MB) is read on the driver, its pair tables are
+    built there once and sent along; a worker keeps the encoder, and the words it has met, from task to task."""
     from pyspark.sql import SparkSession
 
-    ranks = read_ranks(tokenizer_path(name, folder))
-    sent = SparkSession.active().sparkContext.broadcast(ranks)
+    sent = SparkSession.active().sparkContext.broadcast(SpeculativeBpe(read_ranks(tokenizer_path(name, folder))))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = SpeculativeBpe(sent.value)
+        bpe = sent.value
         for part in parts:
             out = []
             texts = part.tolist()
