@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 
@@ -27,4 +30,18 @@ class EngineConfig:
     embedding_version: str = "lex-v1"
 
 
+def configured(conf: Mapping[str, str] | None = None, env: Mapping[str, str] | None = None) -> EngineConfig:
+    """Defaults, then environment variables CASELODE_<NAME>, then settings caselode.<name> (of a session, say).
+
+    A value that is not of its parameter's type raises ValueError; unknown names are ignored.
+    """
+    env = os.environ if env is None else env
+    found = {}
+    for f in dataclasses.fields(EngineConfig):
+        told = (conf or {}).get(f"caselode.{f.name}", env.get(f"CASELODE_{f.name.upper()}"))
+        if told is not None:
+            found[f.name] = type(f.default)(told)
+    return EngineConfig(**found)
+
+
 DEFAULT = EngineConfig()

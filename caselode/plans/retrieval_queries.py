@@ -6,6 +6,7 @@ documents with a vector of the same id make the hybrid corpus.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselode.operators import ann, corpus, evaluate, fusion, retrieve
@@ -105,10 +106,17 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
 
 
 def dense_ann(spark: SparkSession, d: str) -> DataFrame:
-    """The inverted-file index over all vectors, asked for the stated query set."""
-    e = table(spark, d, "embeddings")
-    centres, nprobe = ann.fit_cells(e, "vec_id", "embedding")
-    return ann.ann_topn(ann.index_rows(e, "vec_id", "embedding", centres), e.where(F.col("vec_id") % EVERY == 0), centres, 10, "vec_id", "embedding", nprobe)
+    """The inverted-file index over all vectors, written once by cell, asked for the stated query set."""
+    e, source = table(spark, d, "embeddings"), [f"{d}/embeddings.parquet"]
+
+    def fitted() -> DataFrame:
+        centres, nprobe = ann.fit_cells(e, "vec_id", "embedding")
+        return spark.createDataFrame([(i, nprobe, c.tolist()) for i, c in enumerate(centres)], "cell int, nprobe int, centre array<double>")
+
+    cells = sorted(files.stored_table(spark, "ann-cells", source, fitted).collect())
+    centres = np.array([r["centre"] for r in cells])
+    index = files.stored_table(spark, "ann-index", source, lambda: ann.laid_out(ann.index_rows(e, "vec_id", "embedding", centres)))
+    return ann.ann_topn(index, e.where(F.col("vec_id") % EVERY == 0), centres, 10, "vec_id", "embedding", cells[0]["nprobe"])
 
 
 def facet_scores(spark: SparkSession, d: str) -> DataFrame:

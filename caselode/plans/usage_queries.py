@@ -122,6 +122,15 @@ def lab_trends(spark: SparkSession, d: str) -> DataFrame:
     return labs.groupBy("analyte", "unit").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 4).alias("mean"))
 
 
+def lab_months(spark: SparkSession, d: str) -> DataFrame:
+    """Per analyte, unit and month the mean of its values, and the change to the month before."""
+    cases = table(spark, d, "cases_clean").where("document is not null")
+    labs = usage.lab_values(cases, "row_no", "document").join(cases.select("row_no", F.date_format("built_at", "yyyy-MM").alias("month")), "row_no")
+    months = labs.groupBy("analyte", "unit", "month").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    before = F.lag("mean").over(Window.partitionBy("analyte", "unit").orderBy("month"))  # a row a month
+    return months.select("analyte", "unit", "month", "n", F.round("mean", 4).alias("mean"), F.round(F.col("mean") - before, 4).alias("change"))
+
+
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.groupBy(F.date_trunc("HOUR", F.col("ts").cast("timestamp")).alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -495,6 +504,10 @@ ORACLE = {
     "lab_trends": r"""WITH l AS (SELECT unnest(regexp_extract_all(document, '(?m)^([A-Za-z][A-Za-z -]+) \| (\d+(?:[.,]\d+)?) \| ([^\s|]+)\r?$')) AS line FROM cases_clean),
         p AS (SELECT string_split(line, ' | ') AS p FROM l), v AS (SELECT p[1] AS analyte, CAST(replace(p[2], ',', '.') AS DOUBLE) AS value, rtrim(p[3], chr(13)) AS unit FROM p)
         SELECT analyte, unit, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean FROM v GROUP BY ALL""",
+    "lab_months": r"""WITH l AS (SELECT strftime(built_at, '%Y-%m') AS month, unnest(regexp_extract_all(document, '(?m)^([A-Za-z][A-Za-z -]+) \| (\d+(?:[.,]\d+)?) \| ([^\s|]+)\r?$')) AS line FROM cases_clean),
+        p AS (SELECT month, string_split(line, ' | ') AS p FROM l), v AS (SELECT month, p[1] AS analyte, CAST(replace(p[2], ',', '.') AS DOUBLE) AS value, rtrim(p[3], chr(13)) AS unit FROM p),
+        m AS (SELECT analyte, unit, month, count(*) AS n, avg(value) AS mean FROM v GROUP BY ALL)
+        SELECT analyte, unit, month, n, round(mean, 4) AS mean, round(mean - lag(mean) OVER (PARTITION BY analyte, unit ORDER BY month), 4) AS change FROM m""",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "event_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
@@ -554,7 +567,7 @@ QUERIES = {
     for f in (
         log_dedup, usage_daily, usage_rolling, latency_percentiles, cache_hit_rate, served_version, top_case_share, outcome_cube,
         outcome_pivot, index_reconcile, resume_anti_join, docs_semi_join, case_lookup, snippet_left_join, group_by_case, label_centroids,
-        source_late_rows, lab_trends, event_windows, event_sessions, budget_packing, pricing_summary, nation_revenue, top_orders,
+        source_late_rows, lab_trends, lab_months, event_windows, event_sessions, budget_packing, pricing_summary, nation_revenue, top_orders,
         negated_scopes, negated_spans, negation_triggers, negation_parse_query, search_fast, search_thorough, match_labels,
         explain_context, explain_prompt, explain_validate, explain_fallback, citation_validity, cache_keys, summary_status, summary_checks, summary_leaves,
         claim_scores, audit_chain, filter_or_not, filter_version, soft_preferences, delete_by_filter, mean_latency, query_acceptance, document_polarity, index_health, precision_by_month, term_statuses,

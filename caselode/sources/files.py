@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -34,6 +35,16 @@ def find_sources(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return sorted(r["path"] for r in found.select("path").collect())
 
 
+def first_source(spark: SparkSession, folder: str, pattern: str, prefer: tuple[str, ...] = ()) -> str | None:
+    """The file to use: of those whose name matches the first whose path holds the earliest of ``prefer``, else by name."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    rank = F.lit(len(prefer))
+    for i, part in reversed(list(enumerate(prefer))):
+        rank = F.when(F.contains("path", F.lit(part)), i).otherwise(rank)
+    best = found.select("path").orderBy(rank, "path").limit(1).collect()
+    return best[0]["path"] if best else None
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
@@ -143,5 +154,14 @@ def markdown_table(df: DataFrame, best: list[str] | None = None, limit: int = 20
     return "\n".join(lines + ["| " + " | ".join(cell(c, r[c]) for c in df.columns) + " |" for r in rows])
 
 
+def json_report(**counts: DataFrame) -> str:
+    """Small results as one JSON object: a result of one row as an object, any other as a list of objects."""
+    told = {}
+    for name, df in counts.items():
+        rows = [r.asDict(recursive=True) for r in df.limit(200).collect()]
+        told[name] = rows[0] if len(rows) == 1 else rows
+    return json.dumps(told, ensure_ascii=False, default=str)
+
+
 def not_expired(cache: DataFrame, now: Column) -> DataFrame:
     return cache.where(F.col("expires_at") > now)

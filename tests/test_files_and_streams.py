@@ -1,7 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from caselode.config import configured
 from caselode.sources import files
 from caselode.sources.tables import verified_scan
 from caselode.streaming import streams
@@ -56,8 +58,32 @@ def test_csv_and_delete(spark, tmp_path):
     assert kept.count() == 2 and [r["v"] for r in gone.collect()] == [2]
 
 
+def test_configuration_and_sources(spark, tmp_path):
+    got = configured({"caselode.alpha": "0.7", "caselode.k": "3", "other": "x"}, {"CASELODE_K": "9", "CASELODE_PROMPT_VERSION": "v2"})
+    assert (got.alpha, got.k, got.prompt_version, got.beta) == (0.7, 3, "v2", 0.9)
+    with pytest.raises(ValueError):
+        configured({"caselode.depth": "deep"}, {})
+    for name in ("a/sample.jsonl", "b/full.jsonl", "b/zero.jsonl"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    assert files.first_source(spark, str(tmp_path), "*.jsonl", ("full", "sample")).endswith("b/full.jsonl")
+    assert files.first_source(spark, str(tmp_path), "*.jsonl").endswith("a/sample.jsonl")
+    assert files.first_source(spark, str(tmp_path), "*.csv") is None
+
+
+def test_stored_tables_are_built_once_per_input(spark, tmp_path):
+    source = tmp_path / "in.txt"
+    source.write_text("a")
+    built = []
+    make = lambda: built.append(1) or spark.range(len(built))
+    assert [files.stored_table(spark, "once", [str(source)], make).count() for _ in range(2)] == [1, 1] and len(built) == 1
+    source.write_text("more")
+    assert files.stored_table(spark, "once", [str(source)], make).count() == 2
+
+
 def test_report(spark):
     df = spark.createDataFrame([("x", 0.5), ("y", 0.7), ("z", None)], "mode string, ndcg double")
+    assert json.loads(files.json_report(modes=df.orderBy("mode"), all=df.agg(F.count("*").alias("n")))) == {"modes": [{"mode": "x", "ndcg": 0.5}, {"mode": "y", "ndcg": 0.7}, {"mode": "z", "ndcg": None}], "all": {"n": 3}}
     assert files.markdown_table(df.orderBy("mode"), ["ndcg"]).splitlines()[3] == "| y | **0.7** |"
 
 
