@@ -2,7 +2,7 @@
 
 Statistics of every text (whole, never a prefix) are computed in Arrow batches. The language is the one whose
 common words cover most of the text; the lang column is not trusted. Per language, centre and covariance of
-prose are estimated robustly from all documents: medians and median deviations first, then two concentration
+prose are estimated robustly from all documents: medians and median deviations first, then four concentration
 steps that keep the documents within the distance that prose rarely exceeds, all as Spark aggregates, so only
 sums (languages x statistics squared) go to the driver. The squared Mahalanobis distance is the sum of one
 contribution per statistic; these are reported. The distance beyond which a text is not prose is read from

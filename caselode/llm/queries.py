@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from caselode.llm import canonical, leakage, pii, proportions, quality, splitting, tokens
 from caselode.operators.skew import spread
@@ -80,6 +80,25 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, True)
 
 
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of the pieces of every cut document: sizes within the limit, pieces equal to their stretch of the text,
+    each further on than the one before, and nothing but blanks between, before and behind them."""
+    texts = table(spark, d, "cases_clean").select("row_no", "document")
+    limits = F.broadcast(table(spark, d, "split_limits").select("limit_id", "max_size").limit(splitting.MAX_LIMITS))
+    rows = p3_pieces(spark, d).join(texts, "row_no").join(limits, "limit_id")
+    by = Window.partitionBy("row_no", "limit_id").orderBy("piece_no")  # the pieces of one text
+    before, end = F.coalesce(F.lag("end_at").over(by), F.lit(0)), F.lag("start_at").over(by)
+    blank = lambda start, stop: ~F.coalesce(F.substring(F.col("document"), start + 1, F.greatest(stop - start, F.lit(0))), F.lit("")).rlike(r"[^ \t\r\n]")
+    last = F.lead("piece_no").over(by).isNull()
+    told = rows.select(
+        "row_no", "limit_id", (F.col("size") <= F.col("max_size")).alias("fits"),
+        (F.col("piece") == F.substring(F.col("document"), F.col("start_at") + 1, F.col("end_at") - F.col("start_at"))).alias("same"),
+        F.coalesce(F.col("start_at") > end, F.lit(True)).alias("goes_on"),
+        (blank(before, F.col("start_at")) & (~last | blank(F.col("end_at"), F.length("document")))).alias("whole"),
+    )
+    return told.groupBy("row_no", "limit_id").agg(*[F.min(c).alias(c) for c in ("fits", "same", "goes_on", "whole")])
+
+
 P3_SQL = r"""
 SELECT limit_id, row_no FROM cases_clean, split_limits
 WHERE CASE unit WHEN 'chars' THEN length(document) WHEN 'bytes' THEN strlen(document)
@@ -135,5 +154,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_stats(spark, d).where("not is_prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_shortfalls, p1_sample, p2_found, p2_classes, p2_forms, p3_found, p3_pieces, p4_found, p4_redacted, p6_ids, p7_found, p7_alignments, p8_found, p8_stats)}
-ORACLE = {"p1_found": P1_SQL, "p1_shortfalls": P1_SHORTFALLS, "p3_found": P3_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_shortfalls, p1_sample, p2_found, p2_classes, p2_forms, p3_found, p3_pieces, p3_checks, p4_found, p4_redacted, p6_ids, p7_found, p7_alignments, p8_found, p8_stats)}
+ORACLE = {"p1_found": P1_SQL, "p1_shortfalls": P1_SHORTFALLS, "p3_found": P3_SQL, "p3_checks": P3_SQL.replace("SELECT limit_id, row_no", "SELECT limit_id, row_no, true AS fits, true AS same, true AS goes_on, true AS whole")}
