@@ -41,7 +41,7 @@ def first_source(spark: SparkSession, folder: str, pattern: str, prefer: tuple[s
     rank = F.lit(len(prefer))
     for i, part in reversed(list(enumerate(prefer))):
         rank = F.when(F.contains("path", F.lit(part)), i).otherwise(rank)
-    best = found.select("path").orderBy(rank, "path").limit(1).collect()
+    best = found.select("path", rank.alias("rank")).orderBy("rank", "path").limit(1).collect()
     return best[0]["path"] if best else None
 
 
