@@ -32,7 +32,7 @@ def cells(rows):
 
 
 @NEEDS_DATA
-@pytest.mark.parametrize("name", ["hybrid_search", "fusion_weighted", "corpus_dedup", "corpus_clean_text", "profile_distribution", "stratified_sample", "cache_hit_rate", "served_version", "event_sessions", "negated_scopes", "metrics_by_mode"])
+@pytest.mark.parametrize("name", ["hybrid_search", "fusion_weighted", "corpus_dedup", "corpus_clean_text", "profile_distribution", "stratified_sample", "cache_hit_rate", "served_version", "event_sessions", "negated_scopes", "metrics_by_mode", "search_thorough", "document_polarity", "explain_fallback", "audit_chain", "summary_leaves", "p5_tables", "ablation_table"])
 def test_query_equals_sql(spark, views, name):
     got = entry.queries()[name](spark, SF)
     cols = sorted(got.columns)
