@@ -162,13 +162,13 @@ def postings_topn(index: DataFrame, stats: DataFrame, key: str, terms: DataFrame
     are completed. The result is the same.
     """
     index = index.join(within.select(key), key, "left_semi") if within is not None else index
-    known = terms.join(broadcast_if_small(stats), "term") if prune_hits <= 0 else terms.join(stats, "term")
-    hits = known.agg(F.sum("df")).first()[0] or 0
-    if hits <= prune_hits:
-        sums = _dots(index, key, terms)
+    known = terms.join(stats, "term", "left")
+    size = known.agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("hits")).first()
+    if size["hits"] <= prune_hits:
+        sums = _dots(index, key, terms, size["terms"])
         return top_per_query(sums.select("query_id", key, F.round(F.col("dot") / F.sqrt("len"), 6).alias("score")), n, [F.desc("score"), F.col(key)])
     # one row per query and term from here on
-    known = cut_lineage(known.select("query_id", "term", "qtf", "df", (F.col("qtf") * F.col("top")).alias("most")))
+    known = cut_lineage(known.where("df is not null").select("query_id", "term", "qtf", "df", (F.col("qtf") * F.col("top")).alias("most")))
     by = Window.partitionBy("query_id")
     rarest = known.withColumn("at", F.row_number().over(by.orderBy("df", "term"))).withColumn("all", F.count("*").over(by))
     first = _dots(index, key, rarest.where("at <= ceil(all / 3)").select("query_id", "term", "qtf"))
@@ -190,10 +190,10 @@ def postings_topn(index: DataFrame, stats: DataFrame, key: str, terms: DataFrame
     return top_per_query(whole.select("query_id", key, F.round(F.col("dot") / F.sqrt("len"), 6).alias("score")), n, [F.desc("score"), F.col(key)])
 
 
-def _dots(index: DataFrame, key: str, terms: DataFrame) -> DataFrame:
-    """(query_id, key, len, dot) over the texts that hold any of the terms."""
-    small = broadcast_if_small(terms, BROADCAST_TERMS)
-    joined = index.join(small, "term") if small is not terms else salted_join(index, terms, ["term"], [key])
+def _dots(index: DataFrame, key: str, terms: DataFrame, counted: int | None = None) -> DataFrame:
+    """(query_id, key, len, dot) over the texts that hold any of the terms, of which there are ``counted``."""
+    few = terms.limit(BROADCAST_TERMS + 1).count() if counted is None else counted
+    joined = index.join(F.broadcast(terms), "term") if few <= BROADCAST_TERMS else salted_join(index, terms, ["term"], [key])
     return joined.groupBy("query_id", key, "len").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
 
 
